@@ -5,10 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lectern.functions.relations import Corpus
+from lectern.operators import links, prose, review, structure
+from lectern.operators.findings import finding, union
+from lectern.operators.registry import CHECKS
+from lectern.plans import oracles
+from lectern.sources import corpora
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(corpora.derived_documents(spark, sf_dir))
+
+
+def check_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = derived(spark, sf_dir)
+        return CHECKS[name](c, structure.doc_types(c))
+
+    return run
+
+
+def all_findings(c: Corpus) -> DataFrame:
+    """Every check of the registry over one corpus."""
+    types = structure.doc_types(c)
+    return union([check(c, types) for check in CHECKS.values()])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Present continuous over the raw documents, rolled up by rule."""
+    c = Corpus(corpora.plain_documents(spark, sf_dir))
+    hits = finding(prose.present_continuous_hits(c.lines), "present-continuous", 2, "C3-19")
+    return hits.groupBy("rule_id", "tier").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("doc_id").alias("documents"))
+
+
+def _relation(pick: Callable[[Corpus], DataFrame]) -> Query:
+    return lambda spark, sf_dir: pick(derived(spark, sf_dir))
+
+
+RELATIONS: dict[str, Query] = {
+    "lines": _relation(lambda c: c.every_line.select("doc_id", "line_no", F.md5("raw").alias("raw_md5"), "in_fence", "is_body")),
+    "fences": _relation(lambda c: c.fences),
+    "front_matter": _relation(lambda c: c.front_matter.select("doc_id", "present", F.to_json("keys").alias("keys_json"), "malformed")),
+    "headings": _relation(lambda c: c.headings.select("doc_id", "line_no", "level", "text", "end_line")),
+    "anchors": _relation(lambda c: c.headings.select("doc_id", "line_no", "anchor")),
+    "tables": _relation(lambda c: c.tables.select("doc_id", "start_line", "end_line", F.size("header").alias("columns"), F.size("rows").alias("n_rows"))),
+    "links": _relation(lambda c: c.links.select("doc_id", "line_no", "url")),
+    "list_items": _relation(lambda c: c.items),
+    "sentences": _relation(lambda c: prose.sentence_rows(c, r"^\s*(?:#{1,6}\s|\||>)").select("doc_id", "line_no", "ord", F.md5("sentence").alias("sentence_md5"))),
+    "paragraphs": _relation(lambda c: structure.paragraphs(c).drop("text")),
+    "document_types": _relation(structure.doc_types),
+    "strict_links": _relation(lambda c: links.extracted(c).drop("path")),
+    "link_counts": _relation(links.link_counts),
+    "internal_links": _relation(links.internal_links),
+    "misleading_labels": _relation(links.misleading_labels),
+}
+
+
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Corpus(corpora.derived_pages(spark, sf_dir)).headings.select("doc_id", "line_no", "level", "text")
+
+
+QUERIES: dict[str, Query] = {
+    "flagship": flagship,
+    **{f"check_{name}": check_query(name) for name in CHECKS},
+    **RELATIONS,
+    "page_headings": page_headings,
+    **review.queries(derived),
+}
+
+ORACLE_SQL: dict[str, str] = {"flagship": oracles.flagship(), **oracles.checks(), **oracles.relations(), **review.oracle_sql()}
