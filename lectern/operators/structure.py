@@ -10,7 +10,7 @@ from lectern.functions.relations import Corpus, children, own_lines, settled, te
 from lectern.functions.scalars import jaccard, shingles, strip, word_count
 from lectern.operators.findings import finding, union
 from lectern.operators.structure_data import SECTION_ORDER
-from lectern.operators.wordlists import next_content
+
 
 CLI_TYPES = ["cli-command-reference", "cli-task-runbook", "cli-module-reference", "cli-plugin-guide"]
 TYPES = list(SECTION_ORDER)
@@ -479,4 +479,3 @@ def paragraph_cohesion(c: Corpus) -> DataFrame:
     return finding(cohesion_signals(c), "paragraph-cohesion", 2, "C2-09", section="section")
 
 
-__all__ = ["next_content"]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.relations import Corpus
-from lectern.operators import links, prose, review, structure
+from lectern.operators import links, prose, review, rewrites, structure
+from lectern.operators.candidates import GENERATORS
 from lectern.operators.findings import finding, union
 from lectern.operators.registry import CHECKS
 from lectern.plans import oracles
@@ -29,10 +30,29 @@ def check_query(name: str) -> Query:
     return run
 
 
-def all_findings(c: Corpus) -> DataFrame:
-    """Every check of the registry over one corpus."""
+#: Checks that the rollup queries run together: those of lines, which share one scan of the lines.
+LINE_CHECKS = [
+    "em_dash_semicolon", "present_continuous", "embedded_question_phrases", "retry_attempt_count_bold", "conditional_framing", "additional_resource_phrasing",
+    "internal_link_form", "typographic_substitutes", "no_emoji", "sentence_concision", "skimmable_sentence", "over_promise", "bare_domain", "qa_headers", "duplicate_links",
+]
+LINE_GENERATORS = ["defect_framing", "internal_disclosure", "enumeration_completeness", "vague_quantifier", "casual_register", "limitations_coverage", "routing_only", "false_contrast"]
+
+
+def all_findings(c: Corpus, names: list[str] | None = None) -> DataFrame:
+    """The named checks (all by default) over one corpus, as one relation.
+
+    Each check is its own branch; with all fifty the plan is large, so a sweep
+    over a corpus writes branch by branch (see ``sweep``).
+    """
+    types = structure.doc_types(c)
+    return union([CHECKS[n](c, types) for n in names or CHECKS])
+
+
+def sweep(c: Corpus, folder: str) -> None:
+    """Append the findings of every check to a table, partitioned by check."""
     types = structure.doc_types(c)
-    return union([check(c, types) for check in CHECKS.values()])
+    for name, check in CHECKS.items():
+        check(c, types).write.mode("overwrite").parquet(f"{folder}/check={name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +89,63 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Corpus(corpora.derived_pages(spark, sf_dir)).headings.select("doc_id", "line_no", "level", "text")
 
 
+def _over_findings(then: Callable[[DataFrame, Corpus], DataFrame]) -> Query:
+    """A query over the findings of the line checks."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = derived(spark, sf_dir)
+        return then(all_findings(c, LINE_CHECKS), c)
+
+    return run
+
+
+def first_use_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = derived(spark, sf_dir)
+    return rewrites.acronym_rewrites(c, prose.acronym_first_use(c))
+
+
+def dash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems that the dash rewrites cause, by the integrity checks: each line as a document."""
+    rows = rewrites.rewrites(derived(spark, sf_dir), "dashes").where("clean")
+    pairs = rows.select((F.col("doc_id") * 100_000 + F.col("line_no")).alias("doc_id"), "before", "after")
+    return rewrites.edit_problems(pairs).groupBy("problem").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def renamed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slug map when every heading that ends in a question mark loses it and gains a word."""
+    c = derived(spark, sf_dir)
+    heads = c.headings.join(c.docs.select("doc_id", "path"), "doc_id").select("path", "line_no", "text")
+    return rewrites.slug_map(heads, heads.withColumn("text", F.regexp_replace("text", r"\?\z", " answered")))
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconciliation of the routing candidates with verdicts derived from their ids."""
+    c = derived(spark, sf_dir)
+    rows = review.candidate_ids(GENERATORS["routing_only"](c), c.docs).withColumn("exception", F.lit("None."))
+    k = F.pmod(F.col("doc_id"), F.lit(7))
+    verdict = F.element_at(F.array(*map(F.lit, ("VIOLATION", "NO_VIOLATION", "EXCEPTION_APPLIES", "UNCLEAR", "MAYBE", "VIOLATION", "UNCLEAR"))), (k + 1).cast("int"))
+    told = rows.where(k != 6).select(
+        F.when(k == 3, F.concat(F.col("candidate_id"), F.lit("x"))).otherwise(F.col("candidate_id")).alias("candidate_id"), verdict.alias("verdict"),
+        F.when(k != 1, "seen").alias("reason"), F.when(k == 0, "fix").alias("fix"), F.when(k == 2, "None.").alias("exception_quoted"),
+    )
+    return review.reconcile(rows, told).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     "flagship": flagship,
     **{f"check_{name}": check_query(name) for name in CHECKS},
     **RELATIONS,
     "page_headings": page_headings,
-    **review.queries(derived),
+    **{f"candidates_{name}": _relation(g) for name, g in GENERATORS.items()},
+    "candidate_counts": _relation(lambda c: union([GENERATORS[g](c) for g in LINE_GENERATORS]).groupBy("rule_id", "generator").agg(F.count(F.lit(1)).alias("candidates"))),
+    **{f"rewrite_{family}": (lambda spark, sf_dir, family=family: rewrites.rewrites(derived(spark, sf_dir), family)) for family in rewrites.FAMILIES},
+    "rewrite_acronyms": first_use_rewrites,
+    "dash_edit_integrity": dash_edits,
+    "renamed_anchors": renamed_anchors,
+    "reconcile_verdicts": reconciled,
+    "rollup_by_rule": _over_findings(lambda f, c: review.rollup_by_rule(review.not_exempt(f, c.docs))),
+    "corpus_summary": _over_findings(lambda f, c: review.corpus_summary(review.not_exempt(f, c.docs), c.docs)),
+    "document_reports": _over_findings(lambda f, c: review.document_report(f)),
 }
 
-ORACLE_SQL: dict[str, str] = {"flagship": oracles.flagship(), **oracles.checks(), **oracles.relations(), **review.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"flagship": oracles.flagship(), **oracles.checks(), **oracles.relations(), **oracles.rollups(), **oracles.candidates()}

@@ -209,3 +209,45 @@ def flagship() -> str:
 hits AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(regexp_replace(raw, '`[^`]*`', ' ', 'g'),
   '(?i)\b(?:is|are|was|were|am|be|been)\s+(?:not\s+|never\s+)?(?:only\s+|still\s+|already\s+|currently\s+|now\s+|also\s+|always\s+)?([a-z]+ing)\b', 1), lambda w: lower(w) NOT IN ({words}))) AS w FROM lines)
 SELECT 'C3-19' AS rule_id, 2 AS tier, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM hits HAVING count(*) > 0"""
+
+
+#: Rows of the rollup queries in SQL: the union of the same checks.
+LINE_CHECKS = [
+    "em_dash_semicolon", "present_continuous", "embedded_question_phrases", "retry_attempt_count_bold", "conditional_framing", "additional_resource_phrasing",
+    "internal_link_form", "typographic_substitutes", "no_emoji", "sentence_concision", "skimmable_sentence", "over_promise", "bare_domain", "qa_headers", "duplicate_links",
+]
+
+
+def rollups() -> dict[str, str]:
+    start = prefix()
+    bodies = checks()
+    every = " UNION ALL ".join(f"({bodies[f'check_{n}'].removeprefix(start)})" for n in LINE_CHECKS)
+    classed = f""", every AS ({every}),
+    classes AS (SELECT doc_id, CASE WHEN starts_with(path, 'docs/prompts/') THEN 'agent-prompt' WHEN starts_with(path, 'docs/') THEN 'published' ELSE 'internal' END AS class FROM derived),
+    kept AS (SELECT e.* FROM every e JOIN classes c USING (doc_id) WHERE NOT (c.class <> 'published' AND e.rule_id IN ('FM-01', 'FM-02', 'C1-01', 'C1-02', 'MIG-02', 'C2-04')))
+    """
+    return {
+        "rollup_by_rule": start + classed + "SELECT rule_id, check_id, tier, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM kept GROUP BY rule_id, check_id, tier",
+        "corpus_summary": start + classed + """SELECT count(*) AS files, count(*) FILTER (coalesce(e, 0) + coalesce(w, 0) = 0) AS clean, CAST(coalesce(sum(e), 0) AS BIGINT) AS errors,
+          CAST(coalesce(sum(w), 0) AS BIGINT) AS warnings, coalesce(sum(e), 0) = 0 AS passed
+          FROM derived LEFT JOIN (SELECT doc_id, count(*) FILTER (tier = 1) AS e, count(*) FILTER (tier = 2) AS w FROM kept GROUP BY doc_id) USING (doc_id)""",
+    }
+
+
+def candidates() -> dict[str, str]:
+    """Candidate generators that read one line of an H2 section, or a whole document."""
+    start = prefix()
+    home = "(SELECT o.doc_id, o.line_no, o.raw, trim(o.raw) AS said, h.text AS section FROM o JOIN h ON h.doc_id = o.doc_id AND h.level = 2 AND o.line_no BETWEEN h.line_no AND h.end_line)"
+    row = lambda sql, gen, rule, also, section="section": f"SELECT doc_id, CAST(line_no AS INT) AS line_no, {q(rule)} AS rule_id, {q(also)} AS also_covers, {q(gen)} AS generator, {section} AS section FROM ({sql})"
+    title = "(SELECT d.doc_id, coalesce(t.line_no, coalesce(fm.front_end, 0) + 1) AS line_no, t.text AS section FROM derived d LEFT JOIN fm USING (doc_id) LEFT JOIN (SELECT doc_id, arg_min(text, line_no) AS text, min(line_no) AS line_no FROM h WHERE level = 1 GROUP BY doc_id) t USING (doc_id))"
+    m = lambda p, c="raw": f"regexp_matches({c}, {q(p)})"
+    parts = {
+        "defect_framing": row(f"SELECT * FROM {home} WHERE " + m(r"(?i)\b(silently|quietly|misleading|does nothing|has no effect|not supported yet|no warning|without warning|no counter)\b"), "defect_framing", "C8-09", ""),
+        "internal_disclosure": row(f"SELECT * FROM {home} WHERE " + m(r"(?i)\b(internal to the app|fails? open|serves every|short-lived token|POST\s+/api/|PUT\s+/api/|\.ts:\d+|\.tsx:\d+|lib/[a-z-]+/)\b"), "internal_disclosure", "C6-04", ""),
+        "hover_label": row(f"SELECT * FROM {home} WHERE NOT " + m(r"^(?:\||#{1,6}\s)", "said") + " AND " + m(r"(?i)\b(hovers?|hovering|icons?|reveals?)\b", "said") + " AND " + m(r"\*\*[^*]*[^*\s][^*]*\*\*", "said"), "hover_label", "C4-08", ""),
+        "limitations_coverage": row(f"SELECT * FROM {title} t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = t.doc_id AND lower(h.text) = 'limitations')", "limitations_coverage", "C9-04", ""),
+        "routing_only": row(f"SELECT * FROM {title}", "routing_only", "C4-06", "") + " UNION ALL " + row(f"SELECT * FROM {title}", "routing_only", "C7-03", ""),
+        "enumeration_completeness": row(f"SELECT * FROM {home} WHERE NOT " + m(r"(?i)\b(for example|such as|among (?:them|others)|including)\b") + " AND " + m(
+            r"(?i)\b(change|edit|update|modify|configure|set|adjust|rename)\s+(?:its|the|your|their)?\s*([a-z][\w-]*(?:,\s*[a-z][\w-]*)*\s+(?:or|and)\s+[a-z][\w-]*)\b", NO_CODE), "enumeration_completeness", "C3-16", ""),
+    }
+    return {f"candidates_{k}": start + v for k, v in parts.items()}

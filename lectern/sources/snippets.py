@@ -79,4 +79,10 @@ SNIPPETS: list[str] = [
     '---\nurl: /tools/hub-page\nseo_title: x\nseo_description: y\n---\n# Hub Page\n\n## Overview\n\nText.\n\n## Troubleshooting\n\n### Entry\n\n**Root cause:** x\n\n## Next Steps\n\nSee [other](x.md).\n',
     # links
     '# Links\n\n[Guide to alpha](../guide/doc-0.md) and [deep](../guide/doc-15.md#deep-code-span-here-now).\n![Image](pic.png) and <a href="other.md">x</a>.\n[Ext](https://site.test/a) and [mail](mailto:a@b.c) and [here](//cdn.test/x).\n[Nested [label]](./doc-3.md "title") and `[code](no.md)`.\n[Weather report](../guide/doc-4.md#sentences)\n\n~~~\n[fenced](no.md)\n```\n',
+    # hand-offs and house verbs
+    '# Handoff\n\n## Steps\n\nThe parser holds a value, but it carries nothing.\nAsk the admin for help.\nHover the **Edit** icon.\nYou can change the name, type or value.\nMost clients call the server often.\nIt silently does nothing.\nThe route fails open and serves every user.\nYou must set `A` and `B`.\nThe tool issues for its own use a key.\n\n1. Ask for it\n2. Wait here\n\n### Limits\n\nAsk [the admin](a.md) for such as the name or type.\n',
+    # overview and flow
+    '# Overview First\n\n## Overview\n\nBeyond the basics, this page goes on.\n\n## Flow\n\nThe client calls the server and the browser waits.\n\n1. a\n2. b\n3. c\n\n## Options\n\nIf it runs, fine. Either way it works. Whereas it stops, alternatively it waits. Done here.\n\n## Rules\n\nAs below:\n\n- a\n\nIt is so:\n\n- b\n\nText.\n\nMore text.\n\nYou must never stop it.\n\nText.\n\nText.\n',
+    # counts
+    '# Counts\n\n## Three Steps\n\nThe following three options:\n\n- a\n- b\n\nUse these two tables:\n\n| A | B |\n| --- | --- |\n| a | b |\n\nTwo sections below.\n\n### X\n\nText.\n\n### Y\n\nText.\n\n### Z\n\nFour minutes here:\n\n- a\n\nBoth items here:\n\n- a\n- b\n',
 ]
