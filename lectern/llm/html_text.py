@@ -23,6 +23,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Containers that can be a page's content region.
+REGIONS = frozenset("article body center div html main section table td".split())
 #: Never content, wherever they stand.
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas select textarea button nav aside form footer menu dialog fieldset audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -138,7 +140,8 @@ class _Lines(HTMLParser):
             del self.stack[at:]
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self._here()[1]:
+            self.text.append(data)
 
     def finish(self) -> None:
         self.close()
@@ -186,8 +189,13 @@ def main_text(html: str | None) -> str:
         outer = [b for b in articles if parser.kind[b] == "article"] or articles
         best = max(outer, key=lambda b: (weight[b], -b))
     else:
-        # The smallest container with nine tenths of the dense text.
-        best = max((b for b in weight if 10 * weight[b] >= 9 * total), key=lambda b: b)
+        # The smallest container with nine tenths of the dense text, and not a text block itself.
+        best = max(b for b in weight if 10 * weight[b] >= 9 * total)
+        own: dict[int, int] = {}
+        for k in dense:
+            own[lines[k][2]] = own.get(lines[k][2], 0) + len(lines[k][0])
+        while parser.parent[best] >= 0 and (parser.kind[best] not in REGIONS or 2 * own.get(best, 0) >= weight[best]):
+            best = parser.parent[best]
     inside: dict[int, bool] = {}
 
     def within(box: int) -> bool:
