@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.relations import Corpus
 from lectern.operators import links, prose, review, rewrites, structure
+from lectern.operators.api_ref import API_CHECKS
 from lectern.operators.candidates import GENERATORS
 from lectern.operators.findings import finding, union
 from lectern.operators.registry import CHECKS
@@ -136,6 +137,7 @@ QUERIES: dict[str, Query] = {
     **{f"check_{name}": check_query(name) for name in CHECKS},
     **RELATIONS,
     "page_headings": page_headings,
+    **{f"api_{name}": (lambda spark, sf_dir, check=check: check(Corpus(corpora.derived_api_pages(spark, sf_dir)))) for name, check in API_CHECKS.items()},
     **{f"candidates_{name}": _relation(g) for name, g in GENERATORS.items()},
     "candidate_counts": _relation(lambda c: union([GENERATORS[g](c) for g in LINE_GENERATORS]).groupBy("rule_id", "generator").agg(F.count(F.lit(1)).alias("candidates"))),
     **{f"rewrite_{family}": (lambda spark, sf_dir, family=family: rewrites.rewrites(derived(spark, sf_dir), family)) for family in rewrites.FAMILIES},

@@ -87,3 +87,24 @@ derived AS (
     || regexp_replace(list_extract(s, CAST((doc_id * 7 + 3) % {n} + 1 AS INT)), '^---\\n(?:.*\\n)*?---\\n', '') || chr(10) AS text
   FROM documents, snippets
 )"""
+
+
+def derived_api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page of an API reference: six make a library of one class.
+
+    Of each six ids one is the usage guide, one the class page and four are methods;
+    the text's whole first paragraph to last follows the page's frame.
+    """
+    from lectern.sources.snippets import CLASS_PAGES, GUIDE_PAGES, METHOD_PAGES
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    library, place = F.floor(F.col("doc_id") / 6), F.pmod("doc_id", F.lit(6))
+    frame = lambda frames: F.element_at(F.array(*map(F.lit, frames)), (F.pmod(library, F.lit(3)) + 1).cast("int"))
+    folder = F.concat(F.lit("api/lib"), library.cast("string"), F.lit("/"))
+    path = (
+        F.when(place == 0, F.concat(folder, F.lit("usage_guide.md"))).when(place == 1, F.concat(folder, F.lit("k0/class_reference.md")))
+        .otherwise(F.concat(folder, F.lit("k0/methods/m"), (place - 1).cast("string"), F.lit(".md")))
+    )
+    head = F.when(place == 0, frame(GUIDE_PAGES)).when(place == 1, frame(CLASS_PAGES)).otherwise(frame(METHOD_PAGES))
+    tail = F.when((place > 1) & (F.pmod(library, F.lit(3)) != 1), F.lit("\n\n---\n")).otherwise(F.lit("\n"))
+    return rows.select("doc_id", path.alias("path"), F.concat(head, F.lit("\n"), F.col("text"), tail).alias("text"))

@@ -86,3 +86,20 @@ SNIPPETS: list[str] = [
     # counts
     '# Counts\n\n## Three Steps\n\nThe following three options:\n\n- a\n- b\n\nUse these two tables:\n\n| A | B |\n| --- | --- |\n| a | b |\n\nTwo sections below.\n\n### X\n\nText.\n\n### Y\n\nText.\n\n### Z\n\nFour minutes here:\n\n- a\n\nBoth items here:\n\n- a\n- b\n',
 ]
+
+#: Pages of an API reference by what is wrong with them: class pages, method pages, usage guides.
+CLASS_PAGES: list[str] = [
+    '---\nuid: a\nseo_title: "A"\nseo_description: b\n---\n# Thing\n\n## Method Index\n\n| Method Name | Use |\n| --- | --- |\n| [m1](methods/m1.md) | x |\n| [m2](methods/m2.md) | y |\n',
+    '---\nuid: a\nseo_title: ""\nextra: b\n---\n# Thing\n\n### Deep\n\n| Name | Kind |\n| --- | --- |\n| a | b |\n\n## Methods\n\n- [gone](methods/gone.md)\n- [m1](methods/m1.md)\n\n---\n',
+    '# One\n\n# Two\n\n## Method Index\n\n| Method Name |  Use |\n| --- | --- |\n| [m1](methods/m1.md) | x |\n| [m1](methods/m1.md) | x |\n',
+]
+METHOD_PAGES: list[str] = [
+    '---\nuid: a\nseo_title: ""\nseo_description: ""\n---\n### m1\n\n**Returns:** Thing. The thing.\n\n| Name | Type | Required | Default | Description |\n| --- | --- | --- | --- | --- |\n| a | b | c | d | e |\n\n#### Validation\n\n> **Additional Resource:** see [x](m2.md)\n\n#### Behavior\n\n#### Example\n\n',
+    '---\nuid: a\n---\n## m2\n\n### other\n\n**Returns:** nothing at all\n\n| Name | Type | Required | Default | Description |\n| --- | --- | --- | --- | --- |\n| a | b | c |  | e |\n| a | b | c | — | e |\n\n#### Example\n\n#### Validation\n\n> **Additional Resources:** see [x](gone.md)\n\n',
+    '### m3\n\n| Name | Type |\n| --- | --- |\n| a | b |\n\n**Returns:** A or B. No stop\n\n#### Validation\n\nText.\n\n',
+]
+GUIDE_PAGES: list[str] = [
+    '---\nuid: a\nseo_title: A\nseo_description: B\n---\n# Tool API Reference\n\n> **Before you begin:** see [Get Started](g.md). Requires Node 18.\n> Read the changelog.\n\n## Minimum Working Example\n\n## SDK Structure\n\n## Class Overview\n\n| Class | Role | Accessed via |\n| --- | --- | --- |\n| [k0](k0/class_reference.md) | r | `x()` |\n\n## Task Index\n\n| Task | Start here | Class |\n| --- | --- | --- |\n| Fetch it | [a](b.md) | c |\n\n## Key Usage Patterns\n\n### One\n\n### Two\n\n### Three\n\n## SDK-Wide Notes\n\n> **Warning:** token types differ.\n\n| Concern | Behavior | Default when unset |\n| --- | --- | --- |\n| a | b | c |\n',
+    '---\nuid: a\nseo_title: ""\nseo_description: B\n---\n# Tool\n\n## Tool\n\n## Class Overview\n\n| Class | Role | Accessed via |\n| --- | --- | --- |\n| k0 | r | x |\n| [k9](k9/class_reference.md) | r | `x` |\n| [k9](k9/class_reference.md) | r | `x` |\n\n## SDK Structure\n\n## Task Index\n\n| Task | Start here | Class |\n| --- | --- | --- |\n| Fetching it | a | c |\n\n## Key Usage Patterns\n\n### Example\n\n#### Deep\n\n## Installation\n\nnpm install x\n\n## SDK-Wide Notes\n\n| Concern | Behavior | Default when unset |\n| --- | --- | --- |\n| a | b |  |\n\n## SDK Limitations\n\n| Capability | Supported | Notes / Alternative |\n| --- | --- | --- |\n| a | b |  |\n',
+    '# Tool API Reference\n\n> **Before you begin:** nothing.\n\n## Class Overview\n\n## Task Index\n\n## SDK-Wide Notes\n\n## SDK Limitations\n\n| A | B |\n| --- | --- |\n',
+]
