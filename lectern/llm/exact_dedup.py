@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import whole_text
+from lectern.llm.shared import sized, whole_text
 
 _KEYS = ["_len", "_prefix"]
 
@@ -115,7 +115,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     ], "left").select(dropped._did, dropped._dsha, kept_too._stays).checkpoint()
     names = docs.columns
     hashed = docs.withColumn("_hsha", F.sha2(whole_text(text_col), 256))
-    goes, repeats = twice.where("_stays is null"), twice.where("_stays")
+    goes, repeats = sized(twice.where("_stays is null")), sized(twice.where("_stays"))
     match = lambda right: [hashed[id_col].eqNullSafe(right._did), hashed._hsha == right._dsha]
     rest = hashed.join(goes, match(goes), "left_anti")
     if repeats.isEmpty():

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import whole_text, written
+from lectern.llm.shared import sized, whole_text, written
 
 #: metric -> (numerator, denominator, scale).  Values are whole numbers.
 RATIOS = {
@@ -190,5 +190,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     names = docs.columns
     slim = docs.select("lang", "source", F.col(text_col))
     metrics = with_metrics(slim, text_col).drop(text_col)
-    fences = thresholds(sketches(metrics), **options).checkpoint()
+    fences = sized(thresholds(sketches(metrics), **options).checkpoint(), 100_000)
     return judged(with_metrics(docs, text_col), fences).where("kept").select(*names)

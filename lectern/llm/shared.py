@@ -44,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is.
+
+    For slim tables (ids, hashes, fences) that are written already: a join then
+    leaves the texts on the other side where they are.  Beyond the bound the join
+    is a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def whole_text(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
