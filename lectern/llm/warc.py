@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import fresh_folder, opened, publish, whole_text, written
+from lectern.llm.shared import fresh_folder, opened, publish, sized, whole_text, written
 
 #: Fixed by the format for dictionaries in WARC files: a skippable frame.
 SKIPPABLE = 0x184D2A5D
@@ -118,7 +118,7 @@ def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_by
     html = whole_text(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), html.alias("_html"), F.sha1(html.cast("binary")).alias("_sha"), F.octet_length(html).alias("_n"))
     first = rows.select("_id", "_sha", "_n").where(F.col("_n") >= least_bytes).groupBy("_sha", "_n").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_c"))
-    shared = first.where("_c > 1").select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_keep", F.lit(True).alias("_twin"))
+    shared = sized(first.where("_c > 1").select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_keep", F.lit(True).alias("_twin")).checkpoint())
     return rows.join(shared, (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left").select("_id", "_url", "_html", "_twin", "_keep", "_sha")
 
 
