@@ -6,10 +6,10 @@ segment; table matches are verified by their complete distance.  Only flips of
 zero bits are enumerated: of two segments that differ in one bit, exactly one
 reaches the other that way.
 
-Buckets with more than ``CROWD`` fingerprints take another, also exact way: all
-members are first compared with the bucket's smallest one, then members that are
-still in different components are compared block by block in vectorised tasks
-which return spanning edges, never all pairs.
+Before that, buckets of equal segments compare their members with one of them
+only.  Families of copies are so joined first, and a bucket of the balls is looked
+at only where it still holds different components: small ones in place, large ones
+in vectorised tasks.  No step puts out all pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
-from lectern.llm.shared import written
+from lectern.llm.shared import sized, written
 
-CROWD = 16
-_BLOCK = 4096
+CROWD = 8
+_BLOCK = 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,35 +107,29 @@ def _half_ball(value, tag, bits: int):
     return F.concat(F.array(tag + value), F.transform(zero, lambda b: tag + value + at(b)))
 
 
-def _across(words: int, most: int):
-    """Spanning edges between different components of the members of two blocks."""
+def _across(most: int):
+    """Edges between different components of one bucket's members, or of two blocks of them.
+
+    Members of the largest component are only compared with the others, so a
+    bucket of one large family and a few strangers costs few comparisons.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        key_p, key_q = pdf["p"].iat[0], pdf["q"].iat[0]
+        p, q = pdf["p"].iat[0], pdf["q"].iat[0]
         pdf = pdf.sort_values("fid", kind="stable").drop_duplicates("fid")
         fid, comp, block = (pdf[c].to_numpy() for c in ("fid", "comp", "block"))
-        fp = np.array(pdf["fp"].tolist(), dtype=np.int64).reshape(-1, words).view(np.uint64)
-        _, group = np.unique(comp, return_inverse=True)
-        parent = np.arange(group.max() + 1 if len(group) else 0)
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        left, right = np.flatnonzero(block == key_p), np.flatnonzero(block == key_q)
-        found = []
-        for i in left:
-            near = np.bitwise_count(fp[right] ^ fp[i]).sum(axis=1, dtype=np.int64) <= most
-            for j in right[near & (group[right] != group[i])]:
-                a, b = find(group[i]), find(group[j])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((fid[i], fid[j]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        w = pdf["w"].to_numpy().astype(np.int64).view(np.uint64)
+        _, group, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        mine = np.isin(block, (p, q))
+        others = np.flatnonzero((group != sizes.argmax()) & mine)
+        found = set()
+        for i in others:
+            far = (block != block[i]) if p != q else np.ones(len(block), bool)
+            near = np.flatnonzero((np.bitwise_count(w ^ w[i]) <= most) & (group != group[i]) & far & mine)
+            found.update((min(fid[i], fid[j]), max(fid[i], fid[j])) for j in near)
+        return pd.DataFrame(sorted(found), columns=["u", "v"], dtype="int64")
 
     return run
 
@@ -143,51 +137,47 @@ def _across(words: int, most: int):
 def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, crowd: int = CROWD) -> DataFrame:
     """(node, root) over the distinct fingerprints of ``prints(fid, fp)`` that link to another.
 
-    ``segments`` lists (first bit, bits), each at most 52 bits wide.  Fingerprints
+    ``segments`` lists (first bit, bits), each at most 48 bits wide.  Fingerprints
     link when some segment differs in at most one bit and the whole in at most
     ``most``.
+
+    First each bucket of equal segments compares its members with its smallest
+    one, which joins most families at once.  Then the balls are enumerated, and
+    only buckets that hold more than one component go on: up to ``crowd`` members
+    are compared in place, larger buckets in vectorised tasks.  What remains
+    linked is checked by the complete distance.
     """
-    spark = prints.sparkSession
+    bound = _word_bound(words, most)
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bound
     keys, balls = [], []
     for k, (start, bits) in enumerate(segments):
-        value = _segment(F.col("fp"), start, bits)
-        tag = F.lit(k << bits).cast("long")
-        keys.append(F.struct((tag + value).alias("key"), F.lit(k).alias("seg")))
+        value, tag = _segment(F.col("fp"), start, bits), F.lit(k << bits).cast("long")
+        keys.append(tag + value)
         balls.append(_half_ball(value, tag, bits))
-    probe = F.col("fp")[0]
-    stored = prints.select("fid", probe.alias("w"), F.explode(F.array(*[k["key"] for k in keys])).alias("key"))
-    probes = prints.select(F.col("fid").alias("fid2"), probe.alias("w2"), F.explode(F.flatten(F.array(*balls))).alias("key"))
-    crowded = stored.groupBy("key").count().where(F.col("count") > crowd).select("key").checkpoint()
-    none = crowded.isEmpty()
-    cold = stored if none else stored.join(crowded, "key", "left_anti")
-    # One word's distance is an early, lossless test: it never exceeds the whole.
-    near = (
-        cold.join(probes, "key")
-        .where((F.col("fid") != F.col("fid2")) & (F.bit_count(F.col("w").bitwiseXOR(F.col("w2"))) <= _word_bound(words, most)))
-        .select(F.least("fid", "fid2").alias("u"), F.greatest("fid", "fid2").alias("v"))
-        .distinct()
-    )
-    edges = written(_verified(near, prints, words, most), "simhash-near")
-    if none:
-        return connected_components(edges)
-    members = written(
-        stored.select("fid", "key").union(probes.select("fid2", "key")).join(crowded, "key", "left_semi").distinct(), "simhash-crowd"
-    )
-    heads = members.groupBy("key").agg(F.min("fid").alias("v"))
-    stars = members.join(heads, "key").where("fid <> v").select(F.col("fid").alias("u"), "v").distinct()
-    edges = edges.union(_verified(stars, prints, words, most))
-    edges = written(edges, "simhash-stars")
+    stored = prints.select("fid", F.col("fp")[0].alias("w"), F.explode(F.array(*keys)).alias("key"))
+    bucket = Window.partitionBy("key")
+    headed = stored.withColumn("head", F.min(F.struct("fid", "w")).over(bucket))
+    stars = headed.where((F.col("fid") != F.col("head.fid")) & near(F.col("w"), F.col("head.w"))).select(F.col("fid").alias("u"), F.col("head.fid").alias("v")).distinct()
+    edges = written(_verified(stars, prints, words, most), "simhash-stars")
     first = connected_components(edges)
-    homes = members.join(first, members.fid == first.node, "left").select("key", "fid", F.coalesce("root", "fid").alias("comp"))
-    homes = homes.join(homes.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi"), "key")
-    blocks = F.ceil(F.col("n") / _BLOCK)
-    dealt = homes.withColumn("block", F.pmod(F.xxhash64("fid"), blocks)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    )
-    rows = dealt.select("key", "fid", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rows = rows.join(prints.select(F.col("fid").alias("_f"), "fp"), F.col("fid") == F.col("_f")).drop("_f")
-    more = rows.groupBy("key", "p", "q").applyInPandas(_across(words, most), "u long, v long")
-    more = written(more, "simhash-across")
+    homes = prints.join(first, prints.fid == first.node, "left").select("fid", "fp", F.coalesce("root", "fid").alias("comp"))
+    members = homes.select("fid", "comp", F.col("fp")[0].alias("w"), F.explode(F.flatten(F.array(*balls))).alias("key"))
+    mixed = members.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).where("lo <> hi").withColumn("n", F.count(F.lit(1)).over(bucket))
+    mixed = written(mixed.select("key", "fid", "comp", "w", "n"), "simhash-mixed")
+    lists = mixed.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fid", "comp", "w")).alias("a"))
+    pairs = F.flatten(F.transform("a", lambda x: F.transform(
+        F.filter("a", lambda y: (y["fid"] > x["fid"]) & (y["comp"] != x["comp"]) & near(x["w"], y["w"])), lambda y: F.struct(x["fid"].alias("u"), y["fid"].alias("v"))
+    )))
+    found = lists.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+    large = mixed.where((F.col("n") > crowd) & (F.col("n") <= _BLOCK)).select("key", "fid", "comp", "w", *[F.lit(0).cast("long").alias(c) for c in ("block", "p", "q")])
+    found = found.union(large.groupBy("key", "p", "q").applyInPandas(_across(bound), "u long, v long"))
+    giant = mixed.where(F.col("n") > _BLOCK)
+    if not giant.isEmpty():
+        blocks = F.ceil(F.col("n") / _BLOCK)
+        dealt = giant.withColumn("block", F.pmod(F.xxhash64("fid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = dealt.select("key", "fid", "comp", "w", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        found = found.union(dealt.groupBy("key", "p", "q").applyInPandas(_across(bound), "u long, v long"))
+    more = written(_verified(found.distinct(), prints, words, most), "simhash-near")
     return first if more.isEmpty() else connected_components(edges.union(more))
 
 
@@ -239,7 +229,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-    recall: float = 0.95, slack: float = 1.0,
+    recall: float = 0.9, slack: float = 1.0,
 ) -> DataFrame:
     """The rows of ``docs`` left when one row of each near-duplicate group stays.
 
@@ -252,12 +242,11 @@ def near_dedup(
     ``similarity``.  The row with the smallest id stays, of rows repeating it
     one; a null id goes before others do.
     """
-    spark = docs.sparkSession
     names = docs.columns
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     rows = max(2, docs.count())
-    bits = min(48, max(20, math.ceil(math.log2(rows)) + 2))
+    bits = min(48, max(20, math.ceil(math.log2(rows)) + 4))
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     n = math.ceil(math.log(1 - recall) / math.log(1 - hit))
     words = math.ceil(n * bits / 64)
@@ -273,7 +262,7 @@ def near_dedup(
     groups = homes.groupBy("root").agg(F.min("_id").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = homes.join(groups, "root")
     goes = inside.where("not _id <=> stays").select("_id").distinct()
-    goes = written(goes, "near-goes")
+    goes = sized(written(goes, "near-goes"))
     left = docs.join(goes, docs[id_col].eqNullSafe(goes._id), "left_anti")
     # Rows that repeat one id: keep one of them.
     again = inside.where("_id <=> stays").groupBy("_id").count().where("count > 1").select("_id").checkpoint()
