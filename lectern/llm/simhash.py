@@ -154,11 +154,11 @@ def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most:
         value, tag = _segment(F.col("fp"), start, bits), F.lit(k << bits).cast("long")
         keys.append(tag + value)
         balls.append(_half_ball(value, tag, bits))
-    stored = prints.select("fid", F.col("fp")[0].alias("w"), F.explode(F.array(*keys)).alias("key"))
+    stored = prints.select("fid", F.col("fp").alias("fa"), F.explode(F.array(*keys)).alias("key"))
     bucket = Window.partitionBy("key")
-    headed = stored.withColumn("head", F.min(F.struct("fid", "w")).over(bucket))
-    stars = headed.where((F.col("fid") != F.col("head.fid")) & near(F.col("w"), F.col("head.w"))).select(F.col("fid").alias("u"), F.col("head.fid").alias("v")).distinct()
-    edges = written(_verified(stars, prints, words, most), "simhash-stars")
+    headed = stored.withColumn("head", F.min(F.struct("fid", "fa")).over(bucket))
+    stars = headed.where(F.col("fid") != F.col("head.fid")).select(F.col("fid").alias("u"), F.col("head.fid").alias("v"), "fa", F.col("head.fa").alias("fb"))
+    edges = written(stars.where(_distance("fa", "fb", words) <= most).select("u", "v").distinct(), "simhash-stars")
     first = connected_components(edges)
     homes = prints.join(first, prints.fid == first.node, "left").select("fid", "fp", F.coalesce("root", "fid").alias("comp"))
     members = homes.select("fid", "comp", F.col("fp")[0].alias("w"), F.explode(F.flatten(F.array(*balls))).alias("key"))
