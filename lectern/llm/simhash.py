@@ -9,13 +9,17 @@ reaches the other that way.
 Before that, buckets of equal segments compare their members with one of them
 only.  Families of copies are so joined first, and a bucket of the balls is looked
 at only where it still holds different components: small ones in place, large ones
-in vectorised tasks.  No step puts out all pairs of a group.
+in vectorised tasks, nearest pairs first and in rounds, so that what a round has
+joined is not compared again.
+
+For near-duplicates this is the candidate search only: a pair links when the
+Jaccard similarity of its shingle sets, computed exactly, reaches the bound.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from lectern.llm.shared import sized, written
 
 CROWD = 8
 _BLOCK = 16_384
+_FIRST = 8  # pairs of a row and bucket in the first round; each round takes four times the last
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,9 +63,13 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1, seed: int = 42
     Further words use the same hashes mixed by multiplication.  Without a word
     the fingerprint is zero.
     """
+    return _print_of(_shingle_hashes(text, width, seed), words)
+
+
+def _print_of(pieces: Iterator[np.ndarray], words: int) -> np.ndarray:
     counts = np.zeros((words, 64), np.int64)
     total = 0
-    for h in _shingle_hashes(text, width, seed):
+    for h in pieces:
         total += len(h)
         for k in range(words):
             if k:
@@ -107,11 +116,14 @@ def _half_ball(value, tag, bits: int):
     return F.concat(F.array(tag + value), F.transform(zero, lambda b: tag + value + at(b)))
 
 
-def _across(most: int):
+def _across(most: int, low: int, high: int):
     """Edges between different components of one bucket's members, or of two blocks of them.
 
     Members of the largest component are only compared with the others, so a
-    bucket of one large family and a few strangers costs few comparisons.
+    bucket of one large family and a few strangers costs few comparisons.  Of the
+    near ones of a member, in order of distance, those from ``low`` to ``high``
+    are put out unless they share a component ``now``.  A row without ``v`` says
+    that there are more.
     """
 
     def run(pdf):
@@ -119,34 +131,41 @@ def _across(most: int):
 
         p, q = pdf["p"].iat[0], pdf["q"].iat[0]
         pdf = pdf.sort_values("fid", kind="stable").drop_duplicates("fid")
-        fid, comp, block = (pdf[c].to_numpy() for c in ("fid", "comp", "block"))
+        fid, comp, block, now = (pdf[c].to_numpy() for c in ("fid", "comp", "block", "now"))
         w = pdf["w"].to_numpy().astype(np.int64).view(np.uint64)
         _, group, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         mine = np.isin(block, (p, q))
         others = np.flatnonzero((group != sizes.argmax()) & mine)
-        found = set()
+        found, more = set(), False
         for i in others:
             far = (block != block[i]) if p != q else np.ones(len(block), bool)
-            near = np.flatnonzero((np.bitwise_count(w ^ w[i]) <= most) & (group != group[i]) & far & mine)
-            found.update((min(fid[i], fid[j]), max(fid[i], fid[j])) for j in near)
-        return pd.DataFrame(sorted(found), columns=["u", "v"], dtype="int64")
+            distance = np.bitwise_count(w ^ w[i])
+            near = np.flatnonzero((distance <= most) & (group != group[i]) & far & mine)
+            near = near[np.argsort(distance[near], kind="stable")]
+            more = more or bool((now[near[high:]] != now[i]).any())
+            found.update((min(fid[i], fid[j]), max(fid[i], fid[j])) for j in near[low:high] if now[i] != now[j])
+        rows = pd.DataFrame(sorted(found), columns=["u", "v"], dtype="Int64")
+        return pd.concat([rows, pd.DataFrame({"u": [p], "v": [None]}, dtype="Int64")]) if more else rows
 
     return run
 
 
-def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, crowd: int = CROWD) -> DataFrame:
+def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, crowd: int = CROWD, exactly: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) over the distinct fingerprints of ``prints(fid, fp)`` that link to another.
 
     ``segments`` lists (first bit, bits), each at most 48 bits wide.  Fingerprints
     link when some segment differs in at most one bit and the whole in at most
-    ``most``.
+    ``most``; with ``exactly``, which keeps the true ones of pairs (u, v), only
+    those that it keeps.
 
     First each bucket of equal segments compares its members with its smallest
     one, which joins most families at once.  Then the balls are enumerated, and
     only buckets that hold more than one component go on: up to ``crowd`` members
-    are compared in place, larger buckets in vectorised tasks.  What remains
-    linked is checked by the complete distance.
+    are compared in place, larger buckets in vectorised tasks and in rounds that
+    take more of a member's near ones each, until no pair of different components
+    is left.  What remains linked is checked by the complete distance.
     """
+    exactly = exactly or (lambda pairs: pairs)
     bound = _word_bound(words, most)
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bound
     keys, balls = [], []
@@ -158,7 +177,7 @@ def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most:
     bucket = Window.partitionBy("key")
     headed = stored.withColumn("head", F.min(F.struct("fid", "fa")).over(bucket))
     stars = headed.where(F.col("fid") != F.col("head.fid")).select(F.col("fid").alias("u"), F.col("head.fid").alias("v"), "fa", F.col("head.fa").alias("fb"))
-    edges = written(stars.where(_distance("fa", "fb", words) <= most).select("u", "v").distinct(), "simhash-stars")
+    edges = written(exactly(stars.where(_distance("fa", "fb", words) <= most).select("u", "v").distinct()), "simhash-stars")
     first = connected_components(edges)
     homes = prints.join(first, prints.fid == first.node, "left").select("fid", "fp", F.coalesce("root", "fid").alias("comp"))
     members = homes.select("fid", "comp", F.col("fp")[0].alias("w"), F.explode(F.flatten(F.array(*balls))).alias("key"))
@@ -169,16 +188,29 @@ def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most:
         F.filter("a", lambda y: (y["fid"] > x["fid"]) & (y["comp"] != x["comp"]) & near(x["w"], y["w"])), lambda y: F.struct(x["fid"].alias("u"), y["fid"].alias("v"))
     )))
     found = lists.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+    more = written(exactly(_verified(found.distinct(), prints, words, most)), "simhash-near")
+    roots = first
+    if not more.isEmpty():
+        edges = edges.union(more)
+        roots = connected_components(edges)
     large = mixed.where((F.col("n") > crowd) & (F.col("n") <= _BLOCK)).select("key", "fid", "comp", "w", *[F.lit(0).cast("long").alias(c) for c in ("block", "p", "q")])
-    found = found.union(large.groupBy("key", "p", "q").applyInPandas(_across(bound), "u long, v long"))
-    giant = mixed.where(F.col("n") > _BLOCK)
-    if not giant.isEmpty():
-        blocks = F.ceil(F.col("n") / _BLOCK)
-        dealt = giant.withColumn("block", F.pmod(F.xxhash64("fid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        dealt = dealt.select("key", "fid", "comp", "w", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-        found = found.union(dealt.groupBy("key", "p", "q").applyInPandas(_across(bound), "u long, v long"))
-    more = written(_verified(found.distinct(), prints, words, most), "simhash-near")
-    return first if more.isEmpty() else connected_components(edges.union(more))
+    blocks = F.ceil(F.col("n") / _BLOCK)
+    giant = mixed.where(F.col("n") > _BLOCK).withColumn("block", F.pmod(F.xxhash64("fid"), blocks))
+    giant = giant.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = large.union(giant.select("key", "fid", "comp", "w", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
+    if mixed.where(F.col("n") > crowd).isEmpty():
+        return roots
+    low, high = 0, _FIRST
+    while True:
+        known = dealt.join(roots, dealt.fid == roots.node, "left").withColumn("now", F.coalesce("root", "fid")).drop("node", "root")
+        told = written(known.groupBy("key", "p", "q").applyInPandas(_across(bound, low, high), "u long, v long").distinct(), "simhash-told")
+        more = written(exactly(_verified(told.where("v is not null"), prints, words, most)), "simhash-near")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            roots = connected_components(edges)
+        if told.where("v is null").isEmpty():
+            return roots
+        low, high = high, high + 4 * (high - low)
 
 
 def _word_bound(words: int, most: int) -> int:
@@ -227,19 +259,74 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _shingled(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, seed: int = 42) -> DataFrame:
+    """(id, fid, n, fp, shingles) of every row: the set of its shingles' hashes, sorted, and the fingerprint of the set.
+
+    ``fid`` names the set, ``n`` is its size.
+    """
+    schema = docs.select(F.col(id_col).alias("_id")).selectExpr("_id", "0L fid", "0L n", "array(0L) fp", "binary('') shingles").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fids, sizes, prints, sets = [], [], [], []
+            for t in batch.column(1):
+                own = np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(t.as_py(), width, seed)]))
+                sets.append(own.tobytes())
+                fids.append(xxhash.xxh64_intdigest(sets[-1]))
+                sizes.append(len(own))
+                prints.append(_print_of(iter([own]), words).view(np.int64).tolist())
+            fids = pa.array(np.array(fids, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), fids, pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["_id", "fid", "n", "fp", "shingles"]
+            )
+
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, schema)
+
+
+def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (u, v) of ``sets(fid, n, shingles)`` with a Jaccard similarity of ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def exactly(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "near-pairs")
+        if pairs.isEmpty():
+            return pairs
+        asked = sized(written(pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "near-asked"))
+        held = sets.join(asked, sets.fid == asked.f, "left_semi").groupBy("fid").agg(F.first("n").alias("n"), F.first("shingles").alias("s"))
+        held = written(held, "near-sets")
+        # Sizes that differ too much need no sets.
+        for c in ("u", "v"):
+            pairs = pairs.join(held.select(F.col("fid").alias(c), F.col("n").alias(f"n{c}")), c)
+        pairs = pairs.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
+        for c in ("u", "v"):
+            pairs = pairs.join(held.select(F.col("fid").alias(c), F.col("s").alias(f"s{c}")), c)
+        return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+    return exactly
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-    recall: float = 0.9, slack: float = 1.0,
+    recall: float = 0.9, slack: float = 3.0,
 ) -> DataFrame:
     """The rows of ``docs`` left when one row of each near-duplicate group stays.
 
-    Word shingles of ``width`` words, groups by similarity (Jaccard) of
-    ``similarity`` or more as estimated by the complete distance.  The segment
-    width follows log2 of the number of distinct fingerprints, and there are as
-    many segments as a pair at exactly ``similarity`` needs to be found with
-    probability ``recall``; closer pairs are found more often.  A pair is linked
-    up to ``slack`` standard deviations above the distance expected at
-    ``similarity``.  The row with the smallest id stays, of rows repeating it
+    Word shingles of ``width`` words (a shorter text is one shingle), groups by
+    Jaccard similarity of ``similarity`` or more, which is computed exactly from
+    the sets of shingles.  Rows without words are one group.  Pairs to compute are
+    found by fingerprints: the segment width follows log2 of the number of rows,
+    and there are as many segments as a pair at exactly ``similarity`` needs to be
+    found with probability ``recall``; closer pairs are found more often.  A pair
+    is a candidate up to ``slack`` standard deviations above the distance expected
+    at ``similarity``.  The row with the smallest id stays, of rows repeating it
     one; a null id goes before others do.
     """
     names = docs.columns
@@ -252,12 +339,10 @@ def near_dedup(
     words = math.ceil(n * bits / 64)
     total = words * 64
     most = math.floor(total * p + slack * math.sqrt(total * p * (1 - p)))
-    each = written(
-        fingerprints(docs, id_col, text_col, width, words).select("_id", "fp", F.xxhash64("fp").alias("fid")), "near-fp"
-    )
-    prints = each.groupBy("fid").agg(F.first("fp").alias("fp"))
-    prints = written(prints, "near-prints")
-    roots = linked(prints, [(k * bits, bits) for k in range(n)], words, most)
+    each = written(_shingled(docs, id_col, text_col, width, words), "near-fp")
+    prints = written(each.groupBy("fid").agg(F.first("fp").alias("fp")), "near-prints")
+    exactly = _alike(each.select("fid", "n", "shingles"), similarity)
+    roots = linked(prints, [(k * bits, bits) for k in range(n)], words, most, exactly=exactly)
     homes = each.select("_id", "fid").join(roots, F.col("fid") == F.col("node"), "left").select("_id", F.coalesce("root", "fid").alias("root"))
     groups = homes.groupBy("root").agg(F.min("_id").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = homes.join(groups, "root")

@@ -18,6 +18,7 @@ import xxhash
 from lectern.llm import bpe, chat, components, exact_dedup, html_text, maxent, mixing, quality, simhash, token_files, warc
 from lectern.llm.registry import tokenizer_file
 
+MISSED = 0.1  # share of true near-duplicate pairs that the candidate search may lose
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in that it is was for on are as with his they be at one have this from or had by hot word but what some".split()
 
@@ -183,6 +184,41 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs):
     assert simhash.near_dedup(empty(spark)).count() == 0
 
 
+def shingle_set(text, width=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def altered(rng, words, places):
+    """A copy with new words at some places."""
+    words = list(words)
+    for k in places:
+        words[k] = f"new{rng.randint(0, 10**9)}"
+    return words
+
+
+def family_rows():
+    """Pairs of every distance about Jaccard 0.8, far apart from each other."""
+    rng, rows = random.Random(11), []
+    for k in range(150):
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        other = altered(rng, base, [10 + 12 * i for i in range(1 + k % 8)])
+        rows += [(2 * k, " ".join(base), "en", "s0", 1), (2 * k + 1, " ".join(other), "en", "s0", 1)]
+    return rows
+
+
+def test_near_dedup_links_by_exact_similarity(spark):
+    rows = family_rows()
+    left = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = [shingle_set(r[1]) for r in rows]
+    alike = {b: len(sets[b - 1] & sets[b]) / len(sets[b - 1] | sets[b]) for b in range(1, 300, 2)}
+    assert left >= set(range(0, 300, 2))
+    false = [x for b, x in alike.items() if b not in left and x < 0.8]
+    missed = [x for b, x in alike.items() if b in left and x >= 0.8]
+    assert min(alike.values()) < 0.7 and not false, false
+    assert len(missed) <= MISSED * sum(x >= 0.8 for x in alike.values()), missed
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (None, 1), (60, 61), (61, 60)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
