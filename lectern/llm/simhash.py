@@ -313,9 +313,16 @@ def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFram
     return exactly
 
 
+def _index(rows: int, p: float, recall: float) -> tuple[int, int]:
+    """(bits of a segment, number of segments) that find a pair whose bits differ with chance ``p``."""
+    bits = min(48, max(20, math.ceil(math.log2(rows)) + 2))
+    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-    recall: float = 0.9, slack: float = 3.0,
+    recall: float = 0.99, slack: float = 3.0,
 ) -> DataFrame:
     """The rows of ``docs`` left when one row of each near-duplicate group stays.
 
@@ -333,9 +340,7 @@ def near_dedup(
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     rows = max(2, docs.count())
-    bits = min(48, max(20, math.ceil(math.log2(rows)) + 4))
-    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    n = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+    bits, n = _index(rows, p, recall)
     words = math.ceil(n * bits / 64)
     total = words * 64
     most = math.floor(total * p + slack * math.sqrt(total * p * (1 - p)))

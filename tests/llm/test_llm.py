@@ -18,7 +18,7 @@ import xxhash
 from lectern.llm import bpe, chat, components, exact_dedup, html_text, maxent, mixing, quality, simhash, token_files, warc
 from lectern.llm.registry import tokenizer_file
 
-MISSED = 0.1  # share of true near-duplicate pairs that the candidate search may lose
+MISSED = 0.01  # share of true near-duplicate pairs that the candidate search may lose
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in that it is was for on are as with his they be at one have this from or had by hot word but what some".split()
 
@@ -219,6 +219,19 @@ def test_near_dedup_links_by_exact_similarity(spark):
     assert len(missed) <= MISSED * sum(x >= 0.8 for x in alike.values()), missed
 
 
+@pytest.mark.parametrize("rows", [2, 10_000, 200_000, 3_000_000])
+def test_near_dedup_searches_with_its_recall(monkeypatch, spark, docs, rows):
+    seen = []
+    monkeypatch.setattr(simhash, "linked", lambda prints, segments, *_, **__: seen.append(segments) or spark.createDataFrame([], "node long, root long"))
+    monkeypatch.setattr(type(docs), "count", lambda self: rows)
+    simhash.near_dedup(docs)
+    [segments] = seen
+    flip = math.acos(0.8 / 0.9) / math.pi
+    found = [(1 - flip) ** b + b * flip * (1 - flip) ** (b - 1) for _, b in segments]
+    assert 1 - math.prod(1 - f for f in found) >= 0.99
+    assert {b for _, b in segments} == {max(20, math.ceil(math.log2(rows)) + 2)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (None, 1), (60, 61), (61, 60)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
