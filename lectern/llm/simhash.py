@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
-from lectern.llm.shared import sized, written
+from lectern.llm.shared import sized, whole_text, written
 
 CROWD = 8
 _BLOCK = 16_384
@@ -260,16 +260,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, seed: int = 42) -> DataFrame:
-    """(id, fid, n, fp, shingles) of every row: the set of its shingles' hashes, sorted, and the fingerprint of the set.
+    """(id, text hash, fid, n, fp, shingles) of every row: the set of its shingles' hashes, sorted, and the fingerprint of the set.
 
     ``fid`` names the set, ``n`` is its size.
     """
-    schema = docs.select(F.col(id_col).alias("_id")).selectExpr("_id", "0L fid", "0L n", "array(0L) fp", "binary('') shingles").schema
+    given = docs.select(F.col(id_col).alias("_id"), F.sha2(whole_text(text_col), 256).alias("_sha"), F.col(text_col).alias("_t"))
+    schema = given.selectExpr("_id", "_sha", "0L fid", "0L n", "array(0L) fp", "binary('') shingles").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fids, sizes, prints, sets = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 own = np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(t.as_py(), width, seed)]))
                 sets.append(own.tobytes())
                 fids.append(xxhash.xxh64_intdigest(sets[-1]))
@@ -277,10 +278,11 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, width: int, words: in
                 prints.append(_print_of(iter([own]), words).view(np.int64).tolist())
             fids = pa.array(np.array(fids, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), fids, pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["_id", "fid", "n", "fp", "shingles"]
+                [batch.column(0), batch.column(1), fids, pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                ["_id", "_sha", "fid", "n", "fp", "shingles"]
             )
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
@@ -333,8 +335,10 @@ def near_dedup(
     and there are as many segments as a pair at exactly ``similarity`` needs to be
     found with probability ``recall``; closer pairs are found more often.  A pair
     is a candidate up to ``slack`` standard deviations above the distance expected
-    at ``similarity``.  The row with the smallest id stays, of rows repeating it
-    one; a null id goes before others do.
+    at ``similarity``.  The row with the smallest id stays; a null id goes before
+    others do.  Rows are told apart by id and text, so a row that shares its id
+    (or has none) stays or goes by its own text; of rows that repeat both, one
+    stays where the group keeps them.
     """
     names = docs.columns
     cosine = 2 * similarity / (1 + similarity)
@@ -348,18 +352,20 @@ def near_dedup(
     prints = written(each.groupBy("fid").agg(F.first("fp").alias("fp")), "near-prints")
     exactly = _alike(each.select("fid", "n", "shingles"), similarity)
     roots = linked(prints, [(k * bits, bits) for k in range(n)], words, most, exactly=exactly)
-    homes = each.select("_id", "fid").join(roots, F.col("fid") == F.col("node"), "left").select("_id", F.coalesce("root", "fid").alias("root"))
-    groups = homes.groupBy("root").agg(F.min("_id").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = homes.join(groups, "root")
-    goes = inside.where("not _id <=> stays").select("_id").distinct()
-    goes = sized(written(goes, "near-goes"))
-    left = docs.join(goes, docs[id_col].eqNullSafe(goes._id), "left_anti")
-    # Rows that repeat one id: keep one of them.
-    again = inside.where("_id <=> stays").groupBy("_id").count().where("count > 1").select("_id").checkpoint()
+    homes = each.select("_id", "_sha", "fid").join(roots, F.col("fid") == F.col("node"), "left").select("_id", "_sha", F.coalesce("root", "fid").alias("root"))
+    rank = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")
+    groups = homes.groupBy("root").agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = homes.join(groups, "root").withColumn("stay", F.col("_id").eqNullSafe(F.col("stays._id")) & (F.col("_sha") == F.col("stays._sha")))
+    goes = sized(written(inside.where("not stay").select("_id", "_sha").distinct(), "near-goes"))
+    # Rows that repeat id and text: keep one of them.
+    again = sized(written(inside.where("stay").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "near-again"))
+    hashed = docs.withColumn("_hsha", F.sha2(whole_text(text_col), 256))
+    match = lambda left, right: [left[id_col].eqNullSafe(right._id), left._hsha == right._sha]
+    left = hashed.join(goes, match(hashed, goes), "left_anti")
     if again.isEmpty():
         return left.select(*names)
-    single = left.join(again, left[id_col].eqNullSafe(again._id), "left_anti").select(*names)
-    folded = left.join(again, left[id_col].eqNullSafe(again._id), "left_semi").groupBy(F.col(id_col).alias("_gid")).agg(
+    single = left.join(again, match(left, again), "left_anti").select(*names)
+    folded = left.join(again, match(left, again), "left_semi").groupBy(F.col(id_col).alias("_gid"), "_hsha").agg(
         *[F.first(c).alias(c) for c in names if c != id_col]
     )
     return single.unionByName(folded.withColumnRenamed("_gid", id_col).select(*names))

@@ -232,6 +232,16 @@ def test_near_dedup_searches_with_its_recall(monkeypatch, spark, docs, rows):
     assert {b for _, b in segments} == {max(20, math.ceil(math.log2(rows)) + 2)}
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, c), (9, a + " end"), (9, d), (5, d + " more"), (6, e), (6, e), (6, e + " more"), (None, c)]
+    left = simhash.near_dedup(spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], SCHEMA)).collect()
+    kept = collections.Counter((r.doc_id, r.text) for r in left)
+    one = kept[(6, e)] + kept[(6, e + " more")]
+    assert one == 1 and kept - collections.Counter({(6, e): 1, (6, e + " more"): 1}) == collections.Counter([(1, a), (None, b), (None, c), (5, d + " more")])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (None, 1), (60, 61), (61, 60)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
