@@ -33,6 +33,7 @@ from lectern.llm.shared import sized, whole_text, written
 CROWD = 8
 _BLOCK = 16_384
 _FIRST = 8  # pairs of a row and bucket in the first round; each round takes four times the last
+_NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 43 segments of 24 bits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -317,7 +318,7 @@ def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFram
 
 def _index(rows: int, p: float, recall: float) -> tuple[int, int]:
     """(bits of a segment, number of segments) that find a pair whose bits differ with chance ``p``."""
-    bits = min(48, max(20, math.ceil(math.log2(rows)) + 2))
+    bits = min(24, max(20, math.ceil(math.log2(rows)) + 2))
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -331,7 +332,8 @@ def near_dedup(
     Word shingles of ``width`` words (a shorter text is one shingle), groups by
     Jaccard similarity of ``similarity`` or more, which is computed exactly from
     the sets of shingles.  Rows without words are one group.  Pairs to compute are
-    found by fingerprints: the segment width follows log2 of the number of rows,
+    found by fingerprints of one length and one distance bound, whatever the
+    number of rows; only the segment width follows its log2 (20 to 24 bits),
     and there are as many segments as a pair at exactly ``similarity`` needs to be
     found with probability ``recall``; closer pairs are found more often.  A pair
     is a candidate up to ``slack`` standard deviations above the distance expected
@@ -345,7 +347,7 @@ def near_dedup(
     p = math.acos(cosine) / math.pi
     rows = max(2, docs.count())
     bits, n = _index(rows, p, recall)
-    words = math.ceil(n * bits / 64)
+    words = _NEAR_WORDS
     total = words * 64
     most = math.floor(total * p + slack * math.sqrt(total * p * (1 - p)))
     each = written(_shingled(docs, id_col, text_col, width, words), "near-fp")

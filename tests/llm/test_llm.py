@@ -242,6 +242,16 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert one == 1 and kept - collections.Counter({(6, e): 1, (6, e + " more"): 1}) == collections.Counter([(1, a), (None, b), (None, c), (5, d + " more")])
 
 
+def test_near_dedup_compares_alike_at_any_number_of_rows(monkeypatch, spark, docs):
+    seen = []
+    monkeypatch.setattr(simhash, "linked", lambda prints, segments, words, most, **__: seen.append((segments, words, most)) or spark.createDataFrame([], "node long, root long"))
+    for rows in (2, 10_000, 3_000_000, 12_000_000, 10**9):
+        monkeypatch.setattr(type(docs), "count", lambda self, rows=rows: rows)
+        simhash.near_dedup(docs)
+    assert len({(words, most) for _, words, most in seen}) == 1
+    assert all(start + bits <= 64 * words for segments, words, _ in seen for start, bits in segments)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (None, 1), (60, 61), (61, 60)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
