@@ -370,6 +370,36 @@ def test_model_sums_to_one():
     assert abs(head + rest - 1) < 1e-4
 
 
+def test_model_sees_the_third_last_word_and_every_context_code():
+    rng = np.random.default_rng(5)
+    codes = [rng.integers(0, maxent.CODES - 1, 4000).astype(np.uint16)]
+    target, *context = maxent._contexts(codes)
+    assert len(context) == 3 and list(context[2][3:]) == list(target[:-3])
+    model = maxent.Model(rng.normal(size=(maxent.ROWS1, maxent.CLASSES)), rng.normal(size=(maxent.ROWS2, maxent.PER_CLASS)))
+    far = [model.log_probs(np.full(2, 3), *(np.full(2, k) for k in (5, 7)), np.array([900, 901]))]
+    # 900 and 964 shared a row of the second factor when codes were taken modulo 64.
+    kind = np.zeros(2, np.int64)
+    rows = model._second_rows(np.array([900, 964]), np.array([7, 7]), kind)[0][0]
+    assert far[0][0] != far[0][1] and rows[0] != rows[1]
+
+
+def test_training_steps_equal_dense_gradients():
+    rng = np.random.default_rng(6)
+    model, want = maxent.Model(), np.zeros((20, 4), np.float32)
+    sums, total = np.zeros((20, 4), np.float32), np.zeros((20, 4), np.float32)
+    model_weights = want.copy()
+    for _ in range(3):
+        r, kind = rng.integers(0, 6, 50), rng.integers(0, 4, 50)
+        wrong = np.exp(model._logs(want, [(r, 10, 10)]))
+        wrong[np.arange(50), kind] -= 1
+        g = np.zeros_like(want)
+        np.add.at(g, r + 10, wrong)
+        total += g * g
+        want = want - maxent._RATE * g / np.sqrt(total + 1e-6)
+        model._step(model_weights, sums, [(r, 10, 10)], kind)
+    assert np.allclose(model_weights, want, atol=1e-4)
+
+
 # ---- 8: HTML -------------------------------------------------------------------------------
 
 
