@@ -1,8 +1,9 @@
 """Connected components of an edge table by smallest-label propagation.
 
 Labels move along edges and then along themselves (pointer jumping), so the
-number of rounds is logarithmic for long chains.  Every round is checkpointed in
-the shared folder; the driver sees only the number of labels that changed.
+number of rounds is logarithmic for long chains.  Every round is written to the
+shared folder, the one before it is deleted, and the driver sees only whether
+labels changed.
 """
 
 from __future__ import annotations
@@ -10,23 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import backed, scratch, written
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``; root is the smallest node reachable.
 
-    Loops, repeated and reversed edges are allowed; null ends are ignored.
+    Loops, repeated and reversed edges are allowed; null ends are ignored.  Labels
+    are looked up by joins on nodes; a hot node's edges are first reduced to their
+    smallest label per task.
     """
+    spark = edges.sparkSession
     pairs = edges.where("u is not null and v is not null and u <> v")
-    both = pairs.select("u", "v").union(pairs.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")).checkpoint()
-    while True:
-        near = (
-            both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("near"))
-        )
-        step = labels.join(near, labels.node == near.u).select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
-        step = step.checkpoint()
-        up = step.select(F.col("node").alias("_n"), F.col("low").alias("_low"))
-        jumped = step.join(up, step.low == up._n).select("node", "was", F.least("low", "_low").alias("root")).checkpoint()
-        labels = jumped.select("node", "root")
-        if jumped.where("root <> was").isEmpty():
-            return labels
+    with scratch(spark) as keep:
+        both = written(pairs.select("u", "v").union(pairs.select("v", "u")).distinct(), "cc-edges")
+        labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "cc-labels")
+        while True:
+            with scratch(spark) as keep_round:
+                near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("near"))
+                step = labels.join(near, labels.node == near.u).select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
+                step = written(step, "cc-step")
+                up = step.select(F.col("node").alias("_n"), F.col("low").alias("_low"))
+                jumped = written(step.join(up, step.low == up._n).select("node", "was", F.least("low", "_low").alias("root")), "cc-labels")
+                keep_round(jumped)
+            labels = backed(jumped.select("node", "root"), jumped)
+            if jumped.where("root <> was").isEmpty():
+                keep(labels)
+                return labels

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import sized, whole_text
+from lectern.llm.shared import is_small, sized, unused, whole_text, written
 
 _KEYS = ["_len", "_prefix"]
 
@@ -28,15 +28,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> Da
 def surviving_groups(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
     """(_len, _prefix) pairs held by more than one row, after levels 1 and 2."""
     keyed = _keyed(docs, id_col, text_col, prefix_chars)
-    lengths = keyed.groupBy("_len").count().where("count > 1").select("_len")
-    return (
-        keyed.select(*_KEYS)
-        .join(lengths, "_len", "left_semi")
-        .groupBy(*_KEYS)
-        .count()
-        .where("count > 1")
-        .select(*_KEYS, F.lit(True).alias("_open"))
-    )
+    # Few lengths come twice, so they are broadcast and no length is hot.
+    lengths = sized(written(keyed.groupBy("_len").count().where("count > 1").select("_len"), "dedup-lengths"))
+    groups = keyed.select(*_KEYS).join(lengths, "_len", "left_semi").groupBy(*_KEYS).count().where("count > 1")
+    return written(groups.select(*_KEYS, F.lit(True).alias("_open")), "dedup-open")
 
 
 def exact_dedup(
@@ -44,7 +39,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = 256,
-    broadcast_groups: int = 500_000,
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -55,19 +50,15 @@ def exact_dedup(
     input are ignored, so clashing names do no harm.  An empty table gives an
     empty result.
 
-    Surviving groups are broadcast while there are at most
-    ``broadcast_groups`` (16 bytes each); beyond that they are joined by a
-    shuffle of lengths and hashes.
+    Surviving groups are broadcast while they are small (``sized``); beyond that
+    they are joined by a shuffle of lengths and hashes (``broadcast_bytes`` changes the
+    plan and never the rows).  Long texts are hashed
+    whole and not moved.
     """
-    open_groups = surviving_groups(docs, id_col, text_col, prefix_chars).checkpoint()
-    small = open_groups.count() <= broadcast_groups
-    keyed = _keyed(docs, id_col, text_col, prefix_chars)
-    if small:
-        marked = keyed.join(F.broadcast(open_groups), _KEYS, "left")
-        marked = marked.withColumn("_sha", F.sha2("_text", 256)).drop("_text")
-    else:
-        slim = keyed.withColumn("_sha", F.sha2("_text", 256)).drop("_text")
-        marked = slim.join(open_groups.hint("merge"), _KEYS, "left")
+    open_groups = surviving_groups(docs, id_col, text_col, prefix_chars)
+    # The query returns every text's hash, so all rows are hashed here.
+    slim = _keyed(docs, id_col, text_col, prefix_chars).withColumn("_sha", F.sha2("_text", 256)).drop("_text")
+    marked = slim.join(sized(open_groups, broadcast_bytes), _KEYS, "left")
     alone = marked.where("_open is null").select(
         F.col("_id").alias(id_col),
         F.col("_id").alias("keep_id"),
@@ -94,35 +85,34 @@ def exact_dedup(
     return alone.unionByName(shared)
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, with all their columns.
 
-    Rows repeating one id are told apart by their text hash; of rows that repeat
-    both id and text one stays.
+    Full texts are hashed only in the groups that share length and prefix.  Rows
+    repeating one id are told apart by their text; of rows that repeat both id and
+    text one stays.  A null text counts as empty, a null id ranks below every
+    other, columns may have any names, an empty table gives an empty result.
     """
-    verdicts = exact_dedup(docs, id_col, text_col, **options)
-    dropped = (
-        verdicts.where("not kept")
-        .groupBy(F.col(id_col).alias("_did"), F.col("text_sha256").alias("_dsha"))
-        .agg(F.count(F.lit(1)).alias("_lost"))
-    )
-    kept_too = verdicts.where("kept and group_size > 1").select(
-        F.col(id_col).alias("_did"), F.col("text_sha256").alias("_dsha"), F.lit(True).alias("_stays")
-    )
-    # A pair (id, hash) that has both a kept and a dropped row is a repeated row.
-    twice = dropped.join(kept_too, [
-        dropped._did.eqNullSafe(kept_too._did), dropped._dsha == kept_too._dsha
-    ], "left").select(dropped._did, dropped._dsha, kept_too._stays).checkpoint()
     names = docs.columns
-    hashed = docs.withColumn("_hsha", F.sha2(whole_text(text_col), 256))
-    goes, repeats = sized(twice.where("_stays is null")), sized(twice.where("_stays"))
-    match = lambda right: [hashed[id_col].eqNullSafe(right._did), hashed._hsha == right._dsha]
-    rest = hashed.join(goes, match(goes), "left_anti")
+    length, prefix, opened, own, gid = unused(names, "_len", "_prefix", "_open", "_sha", "_gid")
+    groups = surviving_groups(docs, id_col, text_col, prefix_chars).toDF(length, prefix, opened)
+    text = whole_text(text_col)
+    keyed = docs.withColumns({length: F.octet_length(text), prefix: F.xxhash64(F.substring(text, 1, prefix_chars))})
+    # Beyond a broadcast the groups would move the texts, so all are hashed then.
+    marked = keyed.join(F.broadcast(groups), [length, prefix], "left") if is_small(groups, broadcast_bytes) else keyed.withColumn(opened, F.lit(True))
+    hashed = marked.withColumn(own, F.when(F.col(opened), F.unhex(F.sha2(text, 256))))
+    each = hashed.where(F.col(own).isNotNull()).groupBy(F.col(id_col).alias("i"), F.col(own).alias("h"), F.col(length).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    each = written(each, "dedup-each")
+    stays = each.groupBy("h", "l").agg(F.max("i").alias("stays"), F.sum("n").alias("m")).where("m > 1").select(F.col("h").alias("_h"), F.col("l").alias("_l"), "stays")
+    dropped = each.join(stays, (F.col("h") == F.col("_h")) & (F.col("l") == F.col("_l"))).withColumn("stay", F.col("i").eqNullSafe(F.col("stays")))
+    goes = written(dropped.where("not stay").select("i", "h"), "dedup-goes")
+    repeats = written(dropped.where("stay and n > 1").select("i", "h"), "dedup-repeats")
+    right = unused(hashed.columns, "_goes_id", "_goes_sha")
+    match = F.col(id_col).eqNullSafe(F.col(right[0])) & (F.col(own) == F.col(right[1]))
+    rest = hashed.join(sized(goes, broadcast_bytes).toDF(*right), match, "left_anti")
     if repeats.isEmpty():
         return rest.select(*names)
-    match = lambda right: [rest[id_col].eqNullSafe(right._did), rest._hsha == right._dsha]
-    single = rest.join(repeats, match(repeats), "left_anti").select(*names)
-    again = rest.join(repeats, match(repeats), "left_semi")
-    others = [F.first(c).alias(c) for c in names if c not in (id_col,)]
-    folded = again.groupBy(F.col(id_col).alias("_gid"), "_hsha").agg(*others)
-    return single.unionByName(folded.withColumnRenamed("_gid", id_col).select(*names))
+    repeats = sized(repeats, broadcast_bytes).toDF(*right)
+    single = rest.join(repeats, match, "left_anti").select(*names)
+    folded = rest.join(repeats, match, "left_semi").groupBy(F.col(id_col).alias(gid), own).agg(*[F.first(c).alias(c) for c in names if c != id_col])
+    return single.unionByName(folded.withColumnRenamed(gid, id_col).select(*names))

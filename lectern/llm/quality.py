@@ -190,5 +190,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     names = docs.columns
     slim = docs.select("lang", "source", F.col(text_col))
     metrics = with_metrics(slim, text_col).drop(text_col)
-    fences = sized(thresholds(sketches(metrics), **options).checkpoint(), 100_000)
+    fences = sized(written(thresholds(sketches(metrics), **options), "quality-fences"))
     return judged(with_metrics(docs, text_col), fences).where("kept").select(*names)

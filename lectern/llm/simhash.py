@@ -1,16 +1,18 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are cut into segments.  Each fingerprint is stored under each of its
-segments and probes the table with the Hamming ball of radius one around the
-segment; table matches are verified by their complete distance.  Only flips of
-zero bits are enumerated: of two segments that differ in one bit, exactly one
-reaches the other that way.
-
-Before that, buckets of equal segments compare their members with one of them
-only.  Families of copies are so joined first, and a bucket of the balls is looked
-at only where it still holds different components: small ones in place, large ones
-in vectorised tasks, nearest pairs first and in rounds, so that what a round has
-joined is not compared again.
+Fingerprints are cut into segments, and fingerprints that are alike agree in some
+segment but for one bit.  A segment that differs in one bit has one half that does
+not differ, so rows meet by (segment, half): in a task, sorted segments are probed
+with the Hamming ball of radius one around each, which is enumerated there and not
+shuffled.  Matches are verified by their complete distance.  Of two segments that
+differ in one bit, only the one with the zero bit probes.
+
+Families are joined before that: buckets of equal segments compare each member with
+the first one, which is a link per row and bucket at most.  Balls are then probed
+for fingerprints of other components only, a bounded number for each row and
+bucket; what was left out comes in later rounds, by when most of it is joined.
+Groups too large for a task are dealt out: members of the largest component in
+blocks, the others to every block.
 
 For near-duplicates this is the candidate search only: a pair links when the
 Jaccard similarity of its shingle sets, computed exactly, reaches the bound.
@@ -24,17 +26,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
-from lectern.llm.shared import sized, whole_text, written
+from lectern.llm.shared import scratch, sized, unused, whole_text, written
 
-CROWD = 8
-_BLOCK = 16_384
-_FIRST = 8  # pairs of a row and bucket in the first round; each round takes four times the last
-_NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 43 segments of 24 bits
+_CHUNK = 1 << 18  # rows that a task compares at once
+_GIANT = 1 << 20  # rows of a group from which it is dealt out
+_FIRST = 4  # partners of a row and bucket in the first round; each round takes eight times the last
+_NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 45 segments of 24 bits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PAIRS = "u long, v long, kind int"
+_PAIR, _MORE, _LARGE = 0, 1, 2
 
 
 def _shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
@@ -109,130 +113,246 @@ def _segment(fp, start: int, bits: int):
     return value.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def _half_ball(value, tag, bits: int):
-    """Keys of ``value`` and of every value that sets one more of its bits."""
-    one = F.lit(1).cast("long")
-    at = lambda b: F.call_function("shiftleft", one, b)
-    zero = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: value.bitwiseAND(at(b)) == 0)
-    return F.concat(F.array(tag + value), F.transform(zero, lambda b: tag + value + at(b)))
+def _keys(fp: Column, segments: list[tuple[int, int]], halves: int) -> Column:
+    """Keys of all segments: segment and half, the half that rows meet by, the other half."""
+    out = []
+    for k, (start, bits) in enumerate(segments):
+        value, half = _segment(fp, start, bits), bits // 2
+        low = value.bitwiseAND(F.lit((1 << half) - 1).cast("long"))
+        swapped = F.shiftleft(low, half).bitwiseOR(F.shiftrightunsigned(value, half))
+        out += [F.lit((2 * k + h) << bits).cast("long") + x for h, x in enumerate((value, swapped)[:halves])]
+    return F.array(*out)
+
+
+class _Rows:
+    """Rows of a task's groups in the order of key, component and name."""
+
+    def __init__(self, key: np.ndarray, comp: np.ndarray, fid: np.ndarray, n: np.ndarray):
+        order = np.lexsort((fid, comp, key))
+        self.key, self.comp, self.fid, self.n = key[order], comp[order], fid[order], n[order]
 
 
-def _across(most: int, low: int, high: int):
-    """Edges between different components of one bucket's members, or of two blocks of them.
+def _matches(left: _Rows, right: _Rows, flips: list[int | None], half_ball: bool, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, keys with more): partners in ``right`` of the rows of ``left``, of other components.
 
-    Members of the largest component are only compared with the others, so a
-    bucket of one large family and a few strangers costs few comparisons.  Of the
-    near ones of a member, in order of distance, those from ``low`` to ``high``
-    are put out unless they share a component ``now``.  A row without ``v`` says
-    that there are more.
+    Of each bucket a row takes up to ``most`` partners, beginning at a place of its
+    own.  Partners whose sizes are too far apart for the similarity ``ratio`` are
+    left out, as no set of theirs could reach it.
     """
+    kinds = np.unique(np.concatenate([left.comp, right.comp]))
+    own, theirs = np.searchsorted(kinds, left.comp), np.searchsorted(kinds, right.comp)
+    starts = np.searchsorted(right.key, right.key, "left")
+    place = starts * len(kinds) + theirs
+    spin = (left.fid.view(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64)
+    us, vs, more = [], [], []
+    for bit in flips:
+        at = np.arange(len(left.key))
+        if bit is not None and half_ball:
+            at = np.flatnonzero(left.key & (1 << bit) == 0)
+        asked = left.key[at] if bit is None else left.key[at] ^ (1 << bit)
+        low = np.searchsorted(right.key, asked, "left")
+        hit = low < len(right.key)
+        hit[hit] = right.key[low[hit]] == asked[hit]
+        at, asked, low = at[hit], asked[hit], low[hit]
+        high = np.searchsorted(right.key, asked, "right")
+        mine = low * len(kinds) + own[at]
+        first, last = np.searchsorted(place, mine, "left"), np.searchsorted(place, mine, "right")
+        count = (high - low) - (last - first)
+        took = np.minimum(count, most)
+        more.append(left.key[at[count > most]])
+        ends = np.cumsum(took)
+        who = np.repeat(np.arange(len(at)), took)
+        step = np.arange(len(who)) - np.repeat(ends - took, took)
+        found = low[who] + (step + np.where(count > most, spin[at], 0)[who]) % np.maximum(count, 1)[who]
+        found += np.where(found >= first[who], (last - first)[who], 0)
+        a, b = at[who], found
+        fits = np.minimum(left.n[a], right.n[b]) >= ratio * np.maximum(left.n[a], right.n[b]) - 1e-9
+        us.append(left.fid[a[fits]])
+        vs.append(right.fid[b[fits]])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return np.minimum(u, v), np.maximum(u, v), np.unique(np.concatenate(more))
+
+
+def _batch(u, v, kind: int) -> pa.RecordBatch:
+    """Distinct rows (u, v, kind)."""
+    if v is None:
+        u = np.unique(u)
+    elif len(u):
+        u, v = np.unique(np.stack([u, v]), axis=1)
+    rows = [pa.array(u, pa.int64()), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v, pa.int64()), pa.array(np.full(len(u), kind), pa.int32())]
+    return pa.RecordBatch.from_arrays(rows, ["u", "v", "kind"])
+
+
+def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+    return [np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(4)]
+
+
+def _heads(ratio: float):
+    """Batches of (key, fid, fid, n) sorted by key and fid -> each member of a bucket with its first one."""
 
-    def run(pdf):
-        import pandas as pd
-
-        p, q = pdf["p"].iat[0], pdf["q"].iat[0]
-        pdf = pdf.sort_values("fid", kind="stable").drop_duplicates("fid")
-        fid, comp, block, now = (pdf[c].to_numpy() for c in ("fid", "comp", "block", "now"))
-        w = pdf["w"].to_numpy().astype(np.int64).view(np.uint64)
-        _, group, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        mine = np.isin(block, (p, q))
-        others = np.flatnonzero((group != sizes.argmax()) & mine)
-        found, more = set(), False
-        for i in others:
-            far = (block != block[i]) if p != q else np.ones(len(block), bool)
-            distance = np.bitwise_count(w ^ w[i])
-            near = np.flatnonzero((distance <= most) & (group != group[i]) & far & mine)
-            near = near[np.argsort(distance[near], kind="stable")]
-            more = more or bool((now[near[high:]] != now[i]).any())
-            found.update((min(fid[i], fid[j]), max(fid[i], fid[j])) for j in near[low:high] if now[i] != now[j])
-        rows = pd.DataFrame(sorted(found), columns=["u", "v"], dtype="Int64")
-        return pd.concat([rows, pd.DataFrame({"u": [p], "v": [None]}, dtype="Int64")]) if more else rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            key, _, fid, n = _columns([batch])
+            if head is not None:
+                key, fid, n = (np.concatenate([[h], x]) for h, x in zip(head, (key, fid, n), strict=True))
+            if len(key):
+                first = np.searchsorted(key, key, "left")
+                head = key[first[-1]], fid[first[-1]], n[first[-1]]
+                fits = (fid != fid[first]) & (np.minimum(n, n[first]) >= ratio * np.maximum(n, n[first]) - 1e-9)
+                yield _batch(np.minimum(fid, fid[first])[fits], np.maximum(fid, fid[first])[fits], _PAIR)
 
     return run
 
 
-def linked(prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, crowd: int = CROWD, exactly: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) over the distinct fingerprints of ``prints(fid, fp)`` that link to another.
+def _balls(half: int, bits: int, most: int, ratio: float, chunk: int, giant: int):
+    """Batches of (key, comp, fid, n) sorted by key -> pairs, groups with more, groups too large."""
+
+    def compared(rows: _Rows) -> Iterator[pa.RecordBatch]:
+        flips: list[int | None] = list(range(half))
+        # Equal segments meet in either half; they are compared in the first one.
+        even = (rows.key >> bits) & 1 == 0
+        u, v, more = _matches(rows, rows, flips, True, most, ratio)
+        yield _batch(u, v, _PAIR)
+        yield _batch(more >> half, None, _MORE)
+        if even.any():
+            same = _Rows(rows.key[even], rows.comp[even], rows.fid[even], rows.n[even])
+            u, v, more = _matches(same, same, [None], True, most, ratio)
+            yield _batch(u, v, _PAIR)
+            yield _batch(more >> half, None, _MORE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        large = None  # the group that is being skipped
+        for batch in batches:
+            if large is not None:
+                batch = batch.filter(pa.array(batch.column(0).to_numpy() >> half != large))
+                if not batch.num_rows:
+                    continue
+                large = None
+            held.append(batch)
+            if sum(b.num_rows for b in held) < chunk:
+                continue
+            key, comp, fid, n = _columns(held)
+            cut = int(np.searchsorted(key, key[-1] >> half << half, "left"))
+            if cut:
+                yield from compared(_Rows(key[:cut], comp[:cut], fid[:cut], n[:cut]))
+            if len(key) - cut >= giant:
+                large, held = int(key[-1] >> half), []
+                yield _batch(np.array([large]), None, _LARGE)
+            else:
+                held = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (key, comp, fid, n)], ["key", "comp", "fid", "n"])]
+        if held and sum(b.num_rows for b in held):
+            yield from compared(_Rows(*_columns(held)))
+
+    return run
+
+
+def _dealt(members: DataFrame, large: DataFrame, half: int, bits: int, most: int, ratio: float, block: int) -> DataFrame:
+    """Pairs of the groups of ``large(u)``, and those of them with more.
 
-    ``segments`` lists (first bit, bits), each at most 48 bits wide.  Fingerprints
-    link when some segment differs in at most one bit and the whole in at most
-    ``most``; with ``exactly``, which keeps the true ones of pairs (u, v), only
-    those that it keeps.
-
-    First each bucket of equal segments compares its members with its smallest
-    one, which joins most families at once.  Then the balls are enumerated, and
-    only buckets that hold more than one component go on: up to ``crowd`` members
-    are compared in place, larger buckets in vectorised tasks and in rounds that
-    take more of a member's near ones each, until no pair of different components
-    is left.  What remains linked is checked by the complete distance.
+    Every pair of two components has a member outside the group's largest one.
+    These are one side, all members the other; tasks get a block of each.
     """
-    exactly = exactly or (lambda pairs: pairs)
-    bound = _word_bound(words, most)
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bound
-    keys, balls = [], []
-    for k, (start, bits) in enumerate(segments):
-        value, tag = _segment(F.col("fp"), start, bits), F.lit(k << bits).cast("long")
-        keys.append(tag + value)
-        balls.append(_half_ball(value, tag, bits))
-    stored = prints.select("fid", F.col("fp").alias("fa"), F.explode(F.array(*keys)).alias("key"))
-    bucket = Window.partitionBy("key")
-    headed = stored.withColumn("head", F.min(F.struct("fid", "fa")).over(bucket))
-    stars = headed.where(F.col("fid") != F.col("head.fid")).select(F.col("fid").alias("u"), F.col("head.fid").alias("v"), "fa", F.col("head.fa").alias("fb"))
-    edges = written(exactly(stars.where(_distance("fa", "fb", words) <= most).select("u", "v").distinct()), "simhash-stars")
-    first = connected_components(edges)
-    homes = prints.join(first, prints.fid == first.node, "left").select("fid", "fp", F.coalesce("root", "fid").alias("comp"))
-    members = homes.select("fid", "comp", F.col("fp")[0].alias("w"), F.explode(F.flatten(F.array(*balls))).alias("key"))
-    mixed = members.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).where("lo <> hi").withColumn("n", F.count(F.lit(1)).over(bucket))
-    mixed = written(mixed.select("key", "fid", "comp", "w", "n"), "simhash-mixed")
-    lists = mixed.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fid", "comp", "w")).alias("a"))
-    pairs = F.flatten(F.transform("a", lambda x: F.transform(
-        F.filter("a", lambda y: (y["fid"] > x["fid"]) & (y["comp"] != x["comp"]) & near(x["w"], y["w"])), lambda y: F.struct(x["fid"].alias("u"), y["fid"].alias("v"))
-    )))
-    found = lists.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
-    more = written(exactly(_verified(found.distinct(), prints, words, most)), "simhash-near")
-    roots = first
-    if not more.isEmpty():
-        edges = edges.union(more)
-        roots = connected_components(edges)
-    large = mixed.where((F.col("n") > crowd) & (F.col("n") <= _BLOCK)).select("key", "fid", "comp", "w", *[F.lit(0).cast("long").alias(c) for c in ("block", "p", "q")])
-    blocks = F.ceil(F.col("n") / _BLOCK)
-    giant = mixed.where(F.col("n") > _BLOCK).withColumn("block", F.pmod(F.xxhash64("fid"), blocks))
-    giant = giant.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = large.union(giant.select("key", "fid", "comp", "w", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
-    if mixed.where(F.col("n") > crowd).isEmpty():
-        return roots
-    low, high = 0, _FIRST
-    while True:
-        known = dealt.join(roots, dealt.fid == roots.node, "left").withColumn("now", F.coalesce("root", "fid")).drop("node", "root")
-        told = written(known.groupBy("key", "p", "q").applyInPandas(_across(bound, low, high), "u long, v long").distinct(), "simhash-told")
-        more = written(exactly(_verified(told.where("v is not null"), prints, words, most)), "simhash-near")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            roots = connected_components(edges)
-        if told.where("v is null").isEmpty():
-            return roots
-        low, high = high, high + 4 * (high - low)
-
-
-def _word_bound(words: int, most: int) -> int:
-    """Largest distance in one word that is let through to the complete test.
-
-    With one word it is exact.  With more, a word of a pair at distance ``most``
-    lies above mean + 4 standard deviations about once in 30,000 times.
+    rows = members.join(F.broadcast(large), F.col("g") == F.col("u"), "left_semi")
+    sizes = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    blocks = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(c / block))
+    sizes = sizes.select(F.col("g").alias("_g"), F.col("top.comp").alias("top"), blocks(F.col("all")).alias("lefts"), blocks(F.col("all") - F.col("top.n")).alias("rights"))
+    rows = rows.join(F.broadcast(sizes), F.col("g") == F.col("_g"))
+    spread = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    p, q = F.pmod(F.xxhash64("fid"), "lefts"), F.pmod(F.xxhash64("fid", F.lit(1)), "rights")
+    left = rows.select("*", p.alias("p"), F.explode(spread("rights")).alias("q"), F.lit(True).alias("side"))
+    right = rows.where("comp <> top").select("*", F.explode(spread("lefts")).alias("p"), q.alias("q"), F.lit(False).alias("side"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = [_Rows(*(part.column(c).to_numpy() for c in ("key", "comp", "fid", "n"))) for part in (table.filter(table["side"]), table.filter(pa.compute.invert(table["side"])))]
+        flips: list[int | None] = list(range(half))
+        if int(sides[0].key[0]) >> bits & 1 == 0 if len(sides[0].key) else False:
+            flips.append(None)
+        u, v, more = _matches(sides[1], sides[0], flips, False, most, ratio) if len(sides[0].key) and len(sides[1].key) else (*[np.zeros(0, np.int64)] * 3,)
+        return pa.Table.from_batches([_batch(u, v, _PAIR), _batch(more >> half, None, _MORE)])
+
+    return left.union(right).select("g", "p", "q", "side", "key", "comp", "fid", "n").groupBy("g", "p", "q").applyInArrow(compare, _PAIRS)
+
+
+def linked(
+    prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, exactly: Callable[[DataFrame], DataFrame] | None = None,
+    ratio: float = 0.0, chunk: int = _CHUNK, giant: int = _GIANT,
+) -> DataFrame:
+    """(node, root) over the distinct fingerprints of ``prints(fid, fp)`` that link to another.
+
+    ``segments`` lists (first bit, bits), all of one even width of 48 bits at most.
+    Fingerprints link when some segment differs in at most one bit and the whole in
+    at most ``most``; with ``exactly``, which keeps the true ones of pairs (u, v),
+    only those that it keeps.  ``ratio`` says that sets whose sizes, in a column
+    ``n`` of ``prints``, are further apart cannot link.
+
+    Pairs of one component are not looked at again, and none of another is left
+    out: rounds go on for the groups whose rows had more partners than a round
+    takes.
     """
-    if words == 1:
-        return most
-    p = most / (64 * words)
-    return min(most, math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p))))
+    spark = prints.sparkSession
+    bits = segments[0][1]
+    half = bits // 2
+    if "n" not in prints.columns:
+        prints = prints.withColumn("n", F.lit(0).cast("long"))
+    with scratch(spark) as keep:
+        edges = roots = None
+
+        def joined(pairs: DataFrame) -> None:
+            """Verify ``pairs`` and take the links among them into ``edges`` and ``roots``."""
+            nonlocal edges, roots
+            near = written(_verified(pairs, prints, words, most), "simhash-near")
+            if near.isEmpty() and roots is not None:
+                return
+            if exactly is None:
+                tried = [near.select("u", "v")]
+            else:  # a row's nearest partner first; most of the others are then of its component
+                ends = near.select(F.col("u").alias("x"), "u", "v", "d").union(near.select(F.col("v").alias("x"), "u", "v", "d"))
+                best = ends.groupBy("x").agg(F.min(F.struct("d", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
+                tried = [best, near.join(best, ["u", "v"], "left_anti").select("u", "v")]
+            for k, some in enumerate(tried):
+                if k:
+                    for c in ("u", "v"):
+                        some = some.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+                    some = some.where(~F.coalesce("ru", "u").eqNullSafe(F.coalesce("rv", "v"))).select("u", "v")
+                true = written(exactly(some) if exactly else some, "simhash-links")
+                if not true.isEmpty():
+                    edges = true if edges is None else edges.union(true)
+                    roots = connected_components(edges)
+                elif roots is None:
+                    roots = connected_components(true)
+
+        stored = prints.select(F.explode(_keys(F.col("fp"), segments, 1)).alias("key"), F.lit(0).cast("long").alias("comp"), "fid", "n")
+        stars = stored.repartition("key").sortWithinPartitions("key", "fid").mapInArrow(_heads(ratio), _PAIRS)
+        joined(written(stars.select("u", "v").distinct(), "simhash-stars"))
+        limit, open_groups = _FIRST, None
+        while True:
+            homes = prints.join(roots, F.col("fid") == F.col("node"), "left").select("fid", "fp", "n", F.coalesce("root", "fid").alias("comp"))
+            members = homes.select(F.explode(_keys(F.col("fp"), segments, 2)).alias("key"), "comp", "fid", "n")
+            members = members.withColumn("g", F.shiftright("key", half))
+            if open_groups is not None:
+                members = members.join(sized(open_groups), F.col("g") == F.col("u"), "left_semi")
+            told = members.repartition("g").sortWithinPartitions("key").select("key", "comp", "fid", "n")
+            told = written(told.mapInArrow(_balls(half, bits, limit, ratio, chunk, giant), _PAIRS), "simhash-told")
+            large = told.where(F.col("kind") == _LARGE).select("u").distinct()
+            if not large.isEmpty():
+                told = told.union(written(_dealt(members, large, half, bits, limit, ratio, giant), "simhash-dealt"))
+            joined(told.where(F.col("kind") == _PAIR).select("u", "v").distinct())
+            open_groups = written(told.where(F.col("kind") == _MORE).select("u").distinct(), "simhash-more")
+            if open_groups.isEmpty():
+                keep(roots)
+                return roots
+            limit *= 8
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, words: int, most: int) -> DataFrame:
-    a = prints.select(F.col("fid").alias("_a"), F.col("fp").alias("fa"))
-    b = prints.select(F.col("fid").alias("_b"), F.col("fp").alias("fb"))
-    return (
-        pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b"))
-        .where(_distance("fa", "fb", words) <= most).select("u", "v")
-    )
+    """The pairs (u, v) within the complete distance ``most``, with it as d; only asked fingerprints are moved."""
+    asked = sized(written(pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "simhash-asked"))
+    held = prints.join(asked, F.col("fid") == F.col("f"), "left_semi")
+    a = held.select(F.col("fid").alias("u"), F.col("fp").alias("fa"))
+    b = held.select(F.col("fid").alias("v"), F.col("fp").alias("fb"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", _distance("fa", "fb", words).alias("d")).where(F.col("d") <= most)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2, seed: int = 42) -> DataFrame:
@@ -246,26 +366,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if most > 3:
         raise ValueError("two segments with balls of radius one find distances up to 3")
-    each = written(
-        fingerprints(docs, id_col, text_col, width, 1, seed).select(F.col("_id"), F.col("fp")[0].alias("fid")), "simhash-fp"
-    )
-    groups = each.groupBy("fid").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    prints = groups.select("fid", F.array("fid").alias("fp"))
-    roots = linked(prints, [(0, 32), (32, 32)], 1, most)
-    by_fp = groups.join(roots, groups.fid == roots.node, "left").select("fid", "low", "n", F.coalesce("root", "fid").alias("root"))
-    by_root = by_fp.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    table = by_fp.join(by_root, "root").select(F.col("fid").alias("_fid"), "component_id", "component_size")
+    with scratch(docs.sparkSession) as keep:
+        each = written(fingerprints(docs, id_col, text_col, width, 1, seed).select(F.col("_id"), F.col("fp")[0].alias("fid")), "simhash-fp")
+        groups = written(each.groupBy("fid").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-groups")
+        roots = linked(groups.select("fid", F.array("fid").alias("fp")), [(0, 32), (32, 32)], 1, most)
+        by_fp = groups.join(roots, groups.fid == roots.node, "left").select("fid", "low", "n", F.coalesce("root", "fid").alias("root"))
+        by_root = by_fp.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
+        table = written(by_fp.join(by_root, "root").select(F.col("fid").alias("_fid"), "component_id", "component_size"), "simhash-components")
+        keep(each, table)
     return each.join(table, each.fid == table._fid).select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fid"), 16, "0")).alias("fingerprint"), "component_id", "component_size"
     )
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.unhex(F.sha2(whole_text(text_col), 256))
+
+
 def _shingled(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, seed: int = 42) -> DataFrame:
     """(id, text hash, fid, n, fp, shingles) of every row: the set of its shingles' hashes, sorted, and the fingerprint of the set.
 
     ``fid`` names the set, ``n`` is its size.
     """
-    given = docs.select(F.col(id_col).alias("_id"), F.sha2(whole_text(text_col), 256).alias("_sha"), F.col(text_col).alias("_t"))
+    given = docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_sha"), F.col(text_col).alias("_t"))
     schema = given.selectExpr("_id", "_sha", "0L fid", "0L n", "array(0L) fp", "binary('') shingles").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +426,8 @@ def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFram
         if pairs.isEmpty():
             return pairs
         asked = sized(written(pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "near-asked"))
-        held = sets.join(asked, sets.fid == asked.f, "left_semi").groupBy("fid").agg(F.first("n").alias("n"), F.first("shingles").alias("s"))
+        held = sets.join(asked, sets.fid == asked.f, "left_semi").groupBy("fid").agg(F.first("shingles").alias("s"))
         held = written(held, "near-sets")
-        # Sizes that differ too much need no sets.
-        for c in ("u", "v"):
-            pairs = pairs.join(held.select(F.col("fid").alias(c), F.col("n").alias(f"n{c}")), c)
-        pairs = pairs.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
         for c in ("u", "v"):
             pairs = pairs.join(held.select(F.col("fid").alias(c), F.col("s").alias(f"s{c}")), c)
         return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
@@ -317,12 +436,23 @@ def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFram
 
 
 def _index(rows: int, p: float, recall: float) -> tuple[int, int]:
-    """(bits of a segment, number of segments) that find a pair whose bits differ with chance ``p``."""
-    bits = min(24, max(20, math.ceil(math.log2(rows)) + 2))
+    """(bits of a segment, number of segments) that find a pair whose bits differ with chance ``p``.
+
+    Six bits more than the rows have keep the chance matches of a row few at any
+    number of rows.
+    """
+    bits = max(24, math.ceil(math.log2(rows)) + 6)
+    bits += bits % 2
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
+def _segments(bits: int, n: int, total: int) -> list[tuple[int, int]]:
+    """``n`` segments over ``total`` bits: side by side where there is room, else overlapping evenly."""
+    last = min((n - 1) * bits, total - bits)
+    return [(round(k * last / max(1, n - 1)), bits) for k in range(n)]
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
     recall: float = 0.99, slack: float = 3.0,
@@ -331,18 +461,22 @@ def near_dedup(
 
     Word shingles of ``width`` words (a shorter text is one shingle), groups by
     Jaccard similarity of ``similarity`` or more, which is computed exactly from
-    the sets of shingles.  Rows without words are one group.  Pairs to compute are
-    found by fingerprints of one length and one distance bound, whatever the
-    number of rows; only the segment width follows its log2 (20 to 24 bits),
-    and there are as many segments as a pair at exactly ``similarity`` needs to be
-    found with probability ``recall``; closer pairs are found more often.  A pair
-    is a candidate up to ``slack`` standard deviations above the distance expected
-    at ``similarity``.  The row with the smallest id stays; a null id goes before
-    others do.  Rows are told apart by id and text, so a row that shares its id
-    (or has none) stays or goes by its own text; of rows that repeat both, one
-    stays where the group keeps them.
+    the sets of shingles.  Pairs to compute are found by fingerprints of one length
+    and one distance bound, whatever the number of rows; only the index follows it:
+    segments are six bits wider than the rows' log2 (24 at least), and there are as
+    many as a pair at exactly ``similarity`` needs to be found with probability
+    ``recall``; closer pairs are found more often.  A pair is a candidate up to
+    ``slack`` standard deviations above the distance expected at ``similarity``.
+
+    The row with the smallest id stays; a null id goes before others do.  Rows are
+    told apart by id and text, so a row that shares its id (or has none) stays or
+    goes by its own text; of rows that repeat both, one stays where the group keeps
+    them.  Rows without words (null, empty or white space) are one group.  Very
+    long texts are shingled whole, in pieces; an empty table gives an empty result.
+    All columns of ``docs`` are returned as they are, whatever their names.
     """
     names = docs.columns
+    spark = docs.sparkSession
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     rows = max(2, docs.count())
@@ -350,24 +484,33 @@ def near_dedup(
     words = _NEAR_WORDS
     total = words * 64
     most = math.floor(total * p + slack * math.sqrt(total * p * (1 - p)))
-    each = written(_shingled(docs, id_col, text_col, width, words), "near-fp")
-    prints = written(each.groupBy("fid").agg(F.first("fp").alias("fp")), "near-prints")
-    exactly = _alike(each.select("fid", "n", "shingles"), similarity)
-    roots = linked(prints, [(k * bits, bits) for k in range(n)], words, most, exactly=exactly)
-    homes = each.select("_id", "_sha", "fid").join(roots, F.col("fid") == F.col("node"), "left").select("_id", "_sha", F.coalesce("root", "fid").alias("root"))
-    rank = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")
-    groups = homes.groupBy("root").agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = homes.join(groups, "root").withColumn("stay", F.col("_id").eqNullSafe(F.col("stays._id")) & (F.col("_sha") == F.col("stays._sha")))
-    goes = sized(written(inside.where("not stay").select("_id", "_sha").distinct(), "near-goes"))
-    # Rows that repeat id and text: keep one of them.
-    again = sized(written(inside.where("stay").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "near-again"))
-    hashed = docs.withColumn("_hsha", F.sha2(whole_text(text_col), 256))
-    match = lambda left, right: [left[id_col].eqNullSafe(right._id), left._hsha == right._sha]
-    left = hashed.join(goes, match(hashed, goes), "left_anti")
+    with scratch(spark) as keep:
+        each = written(_shingled(docs, id_col, text_col, width, words), "near-fp")
+        prints = written(each.groupBy("fid").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-prints")
+        exactly = _alike(each.select("fid", "shingles"), similarity)
+        roots = linked(prints, _segments(bits, n, total), words, most, exactly=exactly, ratio=similarity)
+        # One row for each id and text, so a hot text is counted before it moves.
+        distinct = each.groupBy("_id", "_sha", "fid").agg(F.count(F.lit(1)).alias("times"))
+        homes = written(distinct.join(roots, F.col("fid") == F.col("node"), "left").select("_id", "_sha", "times", F.coalesce("root", "fid").alias("root")), "near-homes")
+        rank = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")
+        groups = homes.groupBy("root").agg(F.min(rank).alias("stays"), F.sum("times").alias("n")).where("n > 1")
+        groups = written(groups.select(F.col("root").alias("_root"), "stays"), "near-groups")
+        inside = homes.join(sized(groups), F.col("root") == F.col("_root")).withColumn("stay", F.col("_id").eqNullSafe(F.col("stays._id")) & (F.col("_sha") == F.col("stays._sha")))
+        goes = written(inside.where("not stay").select("_id", "_sha"), "near-goes")
+        # Rows that repeat id and text: keep one of them.
+        again = written(inside.where("stay and times > 1").select("_id", "_sha"), "near-again")
+        keep(goes, again)
+    own, gid = unused(names, "_near_hash", "_near_id")
+    hashed = docs.withColumn(own, _text_hash(text_col))
+    match = lambda right: F.col(id_col).eqNullSafe(F.col(right.columns[0])) & (F.col(own) == F.col(right.columns[1]))
+    apart = lambda df: sized(df).toDF(*unused(names, "_goes_id", "_goes_sha"))
+    goes = apart(goes)
+    left = hashed.join(goes, match(goes), "left_anti")
     if again.isEmpty():
         return left.select(*names)
-    single = left.join(again, match(left, again), "left_anti").select(*names)
-    folded = left.join(again, match(left, again), "left_semi").groupBy(F.col(id_col).alias("_gid"), "_hsha").agg(
+    again = apart(again)
+    single = left.join(again, match(again), "left_anti").select(*names)
+    folded = left.join(again, match(again), "left_semi").groupBy(F.col(id_col).alias(gid), own).agg(
         *[F.first(c).alias(c) for c in names if c != id_col]
     )
-    return single.unionByName(folded.withColumnRenamed("_gid", id_col).select(*names))
+    return single.unionByName(folded.withColumnRenamed(gid, id_col).select(*names))

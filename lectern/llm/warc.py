@@ -118,7 +118,7 @@ def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_by
     html = whole_text(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), html.alias("_html"), F.sha1(html.cast("binary")).alias("_sha"), F.octet_length(html).alias("_n"))
     first = rows.select("_id", "_sha", "_n").where(F.col("_n") >= least_bytes).groupBy("_sha", "_n").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_c"))
-    shared = sized(first.where("_c > 1").select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_keep", F.lit(True).alias("_twin")).checkpoint())
+    shared = sized(written(first.where("_c > 1").select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_keep", F.lit(True).alias("_twin")), "warc-shared"))
     return rows.join(shared, (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left").select("_id", "_url", "_html", "_twin", "_keep", "_sha")
 
 
@@ -133,7 +133,7 @@ def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     plan = planned(pages, id_col, url_col, html_col, least_bytes)
     # Rows repeating id and payload: all but one revisit.  Rare, so found apart.
     twins = plan.where("_twin and _id <=> _keep").groupBy("_id", "_sha").count().where("count > 1").select(F.col("_id").alias("_tid"), F.col("_sha").alias("_tsha"), F.lit(True).alias("_again"))
-    twins = twins.checkpoint()
+    twins = written(twins, "warc-twins")
     if twins.isEmpty():
         plan = plan.withColumn("_copy", F.lit(0).cast("long"))
     else:

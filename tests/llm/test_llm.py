@@ -229,7 +229,7 @@ def test_near_dedup_searches_with_its_recall(monkeypatch, spark, docs, rows):
     flip = math.acos(0.8 / 0.9) / math.pi
     found = [(1 - flip) ** b + b * flip * (1 - flip) ** (b - 1) for _, b in segments]
     assert 1 - math.prod(1 - f for f in found) >= 0.99
-    assert {b for _, b in segments} == {max(20, math.ceil(math.log2(rows)) + 2)}
+    assert {b for _, b in segments} == {max(24, 2 * math.ceil((math.log2(rows) + 6) / 2))}
 
 
 def test_near_dedup_tells_rows_of_one_id_apart(spark):
@@ -472,7 +472,7 @@ def test_exact_dedup(spark, docs, bound):
         for i in sorted(ids, key=rank, reverse=True):
             want[(i, top, len(ids), first, sha)] += 1
             first = False
-    got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs, broadcast_groups=bound).collect())
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs, broadcast_bytes=bound).collect())
     assert got == want
     left = exact_dedup.survivors(docs)
     assert left.columns == docs.columns and sorted(r.text or "" for r in left.collect()) == sorted(groups)
