@@ -5,7 +5,8 @@ A file holds the ids of some documents, in order:
     "LPFOR1\\0\\0" | block payloads | footer | footer length (u64) | "LPFOR1\\0\\0"
 
 Ids are cut into blocks of 512.  A block subtracts its minimum and packs the
-remainders at the width that covers the 95th percentile; larger values keep their
+remainders at the width that covers the 95th percentile, 64 values into as many
+little-endian 64-bit words as the width has bits; larger values keep their
 low bits in place and put position (u16) and high part (u32) into the block's
 exception list.  The footer (compressed) has, per block, its start in the file,
 minimum, width and number of exceptions, and per document its id and length, so
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import fresh_folder, opened, publish, written
+from lectern.llm.shared import fresh_folder, opened, publish, whole_text, written
 
 MAGIC = b"LPFOR1\0\0"
 BLOCK = 512
@@ -40,6 +41,37 @@ def _widths(rest: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(high.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _shifts(width: int) -> Iterator[tuple[int, int, int]]:
+    """(value, word, shift) of 64 values packed at ``width`` bits into ``width`` words; negative shifts spill over."""
+    for j in range(64):
+        word, low = divmod(j * width, 64)
+        yield j, word, low
+        if low + width > 64:
+            yield j, word + 1, low - 64
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of rows of a multiple of 64 values, as little-endian 64-bit words."""
+    cells = (values & np.uint32((1 << width) - 1)).reshape(-1, 64).T.astype(np.uint64)
+    words = np.zeros((width, cells.shape[1]), np.uint64)
+    for j, word, shift in _shifts(width):
+        words[word] |= cells[j] << np.uint64(shift) if shift >= 0 else cells[j] >> np.uint64(-shift)
+    return np.ascontiguousarray(words.T).astype("<u8").reshape(len(values), -1)
+
+
+def _unpacked(words: np.ndarray, width: int) -> np.ndarray:
+    """The values of ``_packed``, row by row."""
+    columns = np.ascontiguousarray(words.reshape(-1, width).T).astype(np.uint64)
+    cells = np.zeros((64, columns.shape[1]), np.uint64)
+    for j, word, shift in _shifts(width):
+        cells[j] |= columns[word] >> np.uint64(shift) if shift >= 0 else columns[word] << np.uint64(-shift)
+    return (cells.T & np.uint64((1 << width) - 1)).astype(np.uint32).reshape(len(words), -1)
+
+
+def _packed_bytes(n, width):
+    return -(-n // 64) * 8 * width
+
+
 def pack_blocks(ids: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
     """(payload, minimum, width, exceptions) for each full or last block of ``ids`` (uint32)."""
     for at in range(0, len(ids), BLOCK * _CHUNK):
@@ -52,11 +84,12 @@ def pack_blocks(ids: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
             rest = rows - low[:, None]
             widths = _widths(rest)
             out: list[tuple[bytes, int, int, int]] = [(b"", 0, 0, 0)] * len(rows)
+            room = -rest.shape[1] % 64
             for w in np.unique(widths).tolist():
                 own = np.flatnonzero(widths == w)
-                bits = np.unpackbits(rest[own].astype(">u4").view(np.uint8).reshape(len(own), -1, 4), axis=2)[:, :, 32 - w :]
-                packed = np.packbits(bits.reshape(len(own), -1), axis=1)
-                over = rest[own] >> np.uint32(w) if w < 32 else np.zeros_like(rest[own])
+                mine = rest[own]
+                packed = _packed(np.pad(mine, ((0, 0), (0, room))), w) if w else np.zeros((len(own), 0), "<u8")
+                over = mine >> np.uint32(w) if w < 32 else np.zeros_like(mine)
                 for k, i in enumerate(own.tolist()):
                     place = np.flatnonzero(over[k])
                     extra = place.astype("<u2").tobytes() + over[k][place].astype("<u4").tobytes()
@@ -64,17 +97,23 @@ def pack_blocks(ids: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
             yield from out
 
 
-def unpack_block(payload: bytes, n: int, low: int, width: int, exceptions: int) -> np.ndarray:
-    packed = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(payload, np.uint8, packed), count=n * width).reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    if width:
-        wide[:, 32 - width :] = bits
-    values = np.packbits(wide, axis=1).view(">u4").reshape(n).astype(np.uint32)
-    if exceptions:
-        place = np.frombuffer(payload, "<u2", exceptions, packed)
-        values[place] |= np.frombuffer(payload, "<u4", exceptions, packed + 2 * exceptions) << np.uint32(width)
-    return values + np.uint32(low)
+def unpack_blocks(data: bytes, start: np.ndarray, n: np.ndarray, low: np.ndarray, width: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """The ids of blocks that begin at ``start`` in ``data``, one block after another."""
+    ends = np.cumsum(n)
+    out = np.zeros(ends[-1], np.uint32)
+    raw = np.frombuffer(data, np.uint8)
+    for size in np.unique(n).tolist():
+        for w in np.unique(width[n == size]).tolist():
+            own = np.flatnonzero((n == size) & (width == w))
+            places = (ends[own] - size)[:, None] + np.arange(size)
+            if w:
+                cells = raw[start[own][:, None] + np.arange(_packed_bytes(size, w))].view("<u8")
+                out[places] = _unpacked(cells, w)[:, :size]
+    for b in np.flatnonzero(extra).tolist():
+        at, k, first = int(start[b]) + _packed_bytes(int(n[b]), int(width[b])), int(extra[b]), int(ends[b] - n[b])
+        place = np.frombuffer(data, "<u2", k, at)
+        out[first + place.astype(np.int64)] |= np.frombuffer(data, "<u4", k, at + 2 * k) << np.uint32(width[b])
+    return out + np.repeat(low, n).astype(np.uint32)
 
 
 class TokenFileWriter:
@@ -138,12 +177,10 @@ class TokenFile:
         first, last = start // BLOCK, (stop - 1) // BLOCK
         self.source.seek(int(self.start[first]))
         data = self.source.read(int(self.stop[last] - self.start[first]))
-        made = []
-        for b in range(first, last + 1):
-            n = min(BLOCK, self.total - b * BLOCK)
-            at = int(self.start[b] - self.start[first])
-            made.append(unpack_block(data[at : at + int(self.stop[b] - self.start[b])], n, int(self.low[b]), int(self.width[b]), int(self.extra[b])))
-        return np.concatenate(made)[start - first * BLOCK : stop - first * BLOCK]
+        blocks = slice(first, last + 1)
+        n = np.minimum(BLOCK, self.total - np.arange(first, last + 1) * BLOCK)
+        made = unpack_blocks(data, self.start[blocks] - self.start[first], n, self.low[blocks], self.width[blocks], self.extra[blocks])
+        return made[start - first * BLOCK : stop - first * BLOCK]
 
     def documents(self, least: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(id, start, ids) of each document in order; about ``least`` ids are held at a time."""
@@ -158,17 +195,35 @@ class TokenFile:
             k = m
 
 
+class _Numbers(dict):
+    """Words by number; a word that is asked for the first time gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """The tokenizers library over whole texts, words that come again looked up.
 
     The vocabulary's pattern never joins characters across white space and its
     normalizer works character by character, so a text's ids are those of its
-    words one after another.
+    words one after another.  A word's ids lie in one flat array; a text is a
+    gather from it.  The library is asked for the words that no other is made
+    from: its normalizer lower-cases, so a word of ASCII has the ids of its lower
+    case, and its pattern parts a comma or full stop from the letter before it.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000  # words held; beyond them all are forgotten and learnt anew
+    #: A digit is a piece of its own whatever stands beside it; this one has an id of its own.
+    MARK = "\u00b2"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 2):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,62 +232,120 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.fence = "<|startoftext|>"
-        self.fence_id = self.library.token_to_id(self.fence)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        found: dict[bytes, list[int]] = {}
-        plain = [w for w in words if b"<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            joined = self.fence.join(w.decode("utf-8") for w in part)
-            ids = self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-            own: list[int] = []
-            pieces = [own]
-            for i in ids:
-                if i == self.fence_id:
-                    pieces.append(own := [])
-                else:
-                    own.append(i)
-            found.update(zip(part, pieces, strict=True))
-        for w in words:
-            if b"<|" in w:
-                found[w] = self.library.encode(w.decode("utf-8"), add_special_tokens=False).ids
-        return found
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        known = self.known
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        missing = list({w for words in split for w in words if w not in known})
-        if len(known) + len(missing) > self.LIMIT:
-            known.clear()
-            missing = list({w for words in split for w in words})
-        for w, ids in self._learn(missing).items():
-            known[w] = tuple(ids)
-        return [np.fromiter((i for w in words for i in known[w]), np.uint32) for words in split]
+        [self.mark_id] = self.library.encode(self.MARK, add_special_tokens=False).ids
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.used = 0
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers[b"\n"] = 0  # not a word of any text: a document's end
+        self._store(np.zeros(1, np.int64), np.array([self.end_id], np.uint32), np.ones(1, np.int64))
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in the ids of some numbers, which lie one after another in ``ids``."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + len(ids) + 4096, np.uint32)])
+        if len(self.numbers) > len(self.size):
+            room = np.zeros(2 * len(self.numbers) + 1024 - len(self.size), np.int64)
+            self.start, self.size = np.concatenate([self.start, room]), np.concatenate([self.size, room])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.used += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of ``numbers`` one after another, and where each one's end."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[numbers] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """(word it is made from, sign that follows)."""
+        if b"<|" in word:  # may hold a special token, which is told by its letters
+            return word, b""
+        if word.isascii():
+            word = word.lower()
+        if len(word) > 1 and word[-1] in b",." and 97 <= word[-2] <= 122:
+            return word[:-1], word[-1:]
+        return word, b""
+
+    def _learn(self) -> None:
+        numbers = self.numbers
+        asked, made = [], []
+        for w in numbers.new:  # grows by the words that others are made from
+            base, sign = self._parts(w)
+            if base == w:
+                asked.append(w)
+            else:
+                made.append((numbers[w], numbers[base], numbers[sign] if sign else -1))
+        numbers.new = []
+        mark = self.MARK.encode()
+        plain = [w for w in asked if b"<|" not in w and mark not in w]
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
+            joined = self.MARK.join(w.decode("utf-8") for w in part)
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            self._store(np.array([numbers[w] for w in part]), ids[ids != self.mark_id], sizes)
+        for w in asked:
+            if b"<|" in w or mark in w:
+                ids = self.library.encode(w.decode("utf-8"), add_special_tokens=False).ids
+                self._store(np.array([numbers[w]]), np.array(ids, np.uint32), np.array([len(ids)]))
+        if made:
+            own, base, sign = np.array(made, np.int64).T
+            both = np.stack([base, np.maximum(sign, 0)], axis=1).ravel()
+            both = both[np.stack([sign >= -1, sign >= 0], axis=1).ravel()]
+            ids, _ = self._gather(both)
+            self._store(own, ids, self.size[base] + np.where(sign >= 0, self.size[np.maximum(sign, 0)], 0))
+
+    def encode_all(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of texts in UTF-8, the ids of all after one another, the end's included."""
+        if len(self.numbers) > self.LIMIT:
+            self._forget()
+        words: list[bytes] = []
+        stops = []
+        for t in texts:
+            words += (t or b"").split()
+            words.append(b"\n")
+            stops.append(len(words))
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            self._learn()
+        ids, ends = self._gather(numbers)
+        return ids, np.diff(ends[np.array(stops, np.int64) - 1], prepend=0)
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    return WordEncoder(path, end_id)
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 32 << 20) -> DataFrame:
     """Encode and write ``docs`` in ascending order of id; returns the manifest.
 
     Manifest: (part, uri, docs, ids, start): files in order, with the ids written
     before each.  A null text counts as empty; ``end_id`` ends each document.
     Nulls come first, rows repeating an id follow each other by text.  A file gets
     its name from the task attempt, and only attempts that ended well are in the
-    manifest, so lost executors leave nothing that is read.
+    manifest, so lost executors leave nothing that is read.  Files hold about
+    ``shard_bytes`` of text each, so their number and not their size grows with the
+    data; rows of one hot id are parted by how their texts begin.  An empty table
+    gives an empty manifest, other columns are not read.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
+    text = whole_text(text_col)
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.substring(text, 1, 64).alias("_begins"), F.col(text_col).alias("_text"))
+    ordered = slim.repartitionByRange(max(1, -(-total // shard_bytes)), "_id", "_begins").sortWithinPartitions("_id", "_text").select("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, end_id)
         task = TaskContext.get()
         uri = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.lpfor"
         count = total = 0
@@ -243,10 +356,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    made = [np.append(x, np.uint32(end_id)) for x in encoder.encode_all(part.column(1).to_pylist())]
-                    lengths = [len(x) for x in made]
-                    writer.add(part.column(0).to_pylist(), lengths, np.concatenate(made))
-                    count, total = count + len(made), total + sum(lengths)
+                    ids, lengths = encoder.encode_all(part.column(1).cast(pa.binary()).to_pylist())
+                    writer.add(part.column(0).to_pylist(), lengths.tolist(), ids)
+                    count, total = count + len(lengths), total + len(ids)
             writer.close()
 
         publish(uri, write)
