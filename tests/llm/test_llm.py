@@ -7,6 +7,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -423,6 +424,61 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = ("Long text here with words. " * 12).strip()
+ARTICLE, ARTICLE_TEXT = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p>", f"Title\n{LONG}\nShort."
+
+
+@pytest.mark.parametrize("html", [
+    f'<body><nav><a>x</a></nav><form id="aspnetForm">{ARTICLE}</form></body>',
+    f'<div class="layout with-sidebar no-comments">{ARTICLE}</div>',
+    f'<div class="has-sidebar"><article>{ARTICLE}</article><div class="sidebar"><p>Side text</p></div></div>',
+    f'<div id=c>{ARTICLE}</div><section class="discussion"><p>I like this. {LONG}</p></section>',
+    f'<div class="sidebar">{ARTICLE}</div><div class="site-footer">Foot</div>',
+    f'<div id=c>{ARTICLE}</div><div class="comments">' + f"<div class=comment><p>{LONG}</p></div>" * 9 + "</div>",
+    f"<ul><li><a href=1>Home</a><li><a>About</a></ul>{ARTICLE}",
+])
+def test_marks_do_not_silence_an_article(html):
+    assert html_text.main_text(html) == ARTICLE_TEXT
+
+
+def test_blocks_inside_an_article_stay():
+    html = f'<article><p>{LONG}</p><p class="related-work">Rel.</p><p id="share">Sh.</p><div class="notice-period">NP.</div><p>Press <button>OK</button> now.</p></article>'
+    assert html_text.main_text(html) == f"{LONG}\nRel.\nSh.\nNP.\nPress OK now."
+
+
+def test_open_tags_take_linear_time():
+    import time
+
+    for hostile in ("<font><div>x", "<ul><li>", "<p>a</i></b></p><td>"):
+        took = []
+        for n in (2_000, 16_000):
+            began = time.thread_time()
+            html_text.main_text(hostile * n)
+            took.append(time.thread_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, hostile
+
+
+def slow_main_text(html):
+    """The article of the test tables' pages, by cutting at tags."""
+    import html as library
+
+    inner = re.search(r"(?s)<article>(.*?)(</article>|$)", html or "")
+    parts = re.split(r"</?(?:p|h1)>", inner[1]) if inner else []
+    plain = (" ".join(library.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts)
+    return "\n".join(x for x in plain if x)
+
+
+def test_extract_equals_brute_force_on_the_test_pages(spark):
+    folder = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(folder)
+    want = {r.page_id: slow_main_text(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.extract(pages.unionByName(pages)).collect()}
+    assert got == want and len(want) > 20
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_extract_handles_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>é</p>")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("1", "", 0), ("None", "é", 1)]
