@@ -3,8 +3,8 @@
 Metrics of every document are counted in one pass over its text.  Each
 (language, source) group then gets a quantile sketch per metric: counts of
 log-linear bins, which merge by addition, so the sketch of a language or of the
-corpus is the sum of its groups' sketches.  Thresholds read from the sketches
-replace fixed cutoffs and are joined back to the documents.
+corpus is the sum of its groups' sketches.  Fences read from the sketches replace
+fixed cutoffs and are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import sized, whole_text, written
+from lectern.llm.shared import sized, unused, whole_text, written
 
 #: metric -> (numerator, denominator, scale).  Values are whole numbers.
 RATIOS = {
@@ -21,9 +21,16 @@ RATIOS = {
     "dup_lines": ("n_dup_lines", "n_lines", 1000),
     "repeats": ("n_repeat_words", "n_words", 1000),
 }
-#: metric -> least distance of a fence from the median, in the metric's unit.
-LEAST_SPREAD = {"word_length": 2500, "symbols": 250, "dup_lines": 300, "repeats": 150}
-#: Bins per power of two; a bin is at most 1/16 of its value wide.
+#: metric -> (inner percentile, outer percentile, spread): the fence lies ``spread``
+#: times their distance beyond the outer one.  Word lengths spread around a middle;
+#: the others are mostly zero, so their fences come from the sketch's tail.
+FENCES = {"word_length": (25, 75, 3), "symbols": (50, 90, 3), "dup_lines": (50, 99, 1), "repeats": (50, 99, 1)}
+#: Metrics that have a lower fence, too, as far below the inner percentile.
+TWO_SIDED = frozenset(["word_length"])
+#: A group's fence is averaged with the wider group's, which counts as so many documents.
+PRIOR = 200
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+#: Bins per power of two are 2^_SUB; a bin is at most 1/16 of its value wide.
 _SUB = 4
 
 
@@ -63,45 +70,41 @@ def _repeat_words(words: Column) -> Column:
     return _let(words, lambda w: _let(hashes(w), some))
 
 
-def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines as longs.
+def metrics(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (longs).
 
-    A null text has no words.  Columns of these names in the input are replaced.
+    A null text has no words.
     """
-    text = whole_text(text_col)
+    text = whole_text(text)
     spaced = text
     for c in "\t\n\x0b\x0c\r":
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     words = F.array_remove(F.split(spaced, " "), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = _let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
-    rows = _let(lines, lambda a: F.struct(F.size(a).alias("n"), F.size(F.array_distinct(a)).alias("d")))
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-    found = docs.drop(*own).withColumns({"_w": counts, "_l": rows})
-    return found.withColumns({
-        "n_words": F.col("_w.n").cast("long"),
-        "word_chars": (F.char_length(text) - _occurrences(text, " \t\n\x0b\x0c\r")).cast("long"),
-        "n_symbols": _occurrences(text, "#*$%&|<>").cast("long"),
-        "n_dup_lines": (F.col("_l.n") - F.col("_l.d")).cast("long"),
-        "n_repeat_words": F.col("_w.r").cast("long"),
-        "n_lines": F.col("_l.n").cast("long"),
-    }).drop("_w", "_l")
+    return _let(words, lambda w: _let(lines, lambda a: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        (F.char_length(text) - _occurrences(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+        _occurrences(text, "#*$%&|<>").cast("long").alias("n_symbols"),
+        (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+        _repeat_words(w).cast("long").alias("n_repeat_words"),
+        F.size(a).cast("long").alias("n_lines"),
+    )))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def _value(metric: str) -> Column:
+def _value(m: Column, metric: str) -> Column:
     top, below, scale = RATIOS[metric]
-    return F.floor(F.col(top) * scale / F.greatest(F.col(below), F.lit(1))).cast("long")
+    return F.floor(m[top] * scale / F.greatest(m[below], F.lit(1))).cast("long")
 
 
 def bin_of(v: Column) -> Column:
-    """Log-linear bin of a whole number >= 0: exact below 16, then 16 bins per octave."""
+    """Log-linear bin of a whole number >= 0: exact below 32, then 16 bins per octave."""
     bits = F.length(F.bin(v))
     shift = F.greatest(bits - (_SUB + 1), F.lit(0))
-    return (shift * (1 << _SUB) + F.shiftright(v, 0) / F.pow(F.lit(2.0), shift)).cast("long")
+    return (shift * (1 << _SUB) + v / F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def bin_top(b: Column) -> Column:
@@ -110,85 +113,97 @@ def bin_top(b: Column) -> Column:
     return ((b - shift * (1 << _SUB) + 1) * F.pow(F.lit(2.0), shift) - 1).cast("long")
 
 
-def sketches(metrics: DataFrame) -> DataFrame:
-    """Mergeable sketches: (lang, source, metric, bin, n) of documents with 10 words or more."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(_value(m)).alias("bin")) for m in RATIOS]))
-    return (
-        metrics.where("n_words >= 10").select("lang", "source", each.alias("x"))
-        .groupBy("lang", "source", "x.metric", "x.bin").agg(F.count(F.lit(1)).alias("n"))
-    )
+def sketches(table: DataFrame, m: str, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Mergeable sketches: (lang, source, metric, bin, n) of the documents with 10 words or more.
+
+    ``m`` names the struct column of ``metrics``.  Counts are summed in each task
+    before they move, so a hot source costs no more than others.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bin_of(_value(F.col(m), k)).alias("bin")) for k in RATIOS]))
+    long = table.where(F.col(m)["n_words"] >= 10).select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x"))
+    return long.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q25, q50, q75, total of each metric and ``keys`` from summed sketches."""
+def _own_fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, total and the (low, high) that the group's own sketch gives."""
     merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy(*keys, "metric")
+    over = Window.partitionBy(*keys, "metric")  # as many rows as a sketch has bins
     ranked = merged.withColumns({"upto": F.sum("n").over(over.orderBy("bin")), "total": F.sum("n").over(over)})
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, bin_top(F.col("bin"))))
-    return ranked.groupBy(*keys, "metric").agg(
-        at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"), F.max("total").alias("total")
-    )
-
-
-def thresholds(sketch: DataFrame, least_rows: int = 100, spread: int = 6) -> DataFrame:
-    """Per (lang, source): a map metric -> (low, high).
-
-    The fence lies ``spread`` interquartile ranges, and the metric's least
-    spread at any rate, from the median.  Groups with fewer than ``least_rows``
-    documents use the sketch of their language, then that of the corpus.
+    levels = sorted({q for inner, outer, _ in FENCES.values() for q in (inner, outer)})
+    found = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *[at(q).alias(f"q{q}") for q in levels])
+    low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for k, (inner, outer, spread) in FENCES.items():
+        room = spread * (F.col(f"q{outer}") - F.col(f"q{inner}"))
+        high = F.when(F.col("metric") == k, F.col(f"q{outer}") + room).otherwise(high)
+        if k in TWO_SIDED:
+            low = F.when(F.col("metric") == k, F.col(f"q{inner}") - room).otherwise(low)
+    return found.select(*keys, "metric", "total", low.alias("low"), high.alias("high"))
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """``own`` fences averaged with those of the ``wider`` groups, weighted by documents."""
+    names = {c: f"_w_{c}" for c in (*keys, "metric", "low", "high")}
+    right = wider.select(*[F.col(c).alias(n) for c, n in names.items()])
+    same = F.col("metric") == F.col("_w_metric")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(names[k]))
+    mean = lambda c: F.floor((F.col("total") * F.col(c) + prior * F.col(f"_w_{c}")) / (F.col("total") + prior)).cast("long").alias(c)
+    return own.join(right, same).select(*[c for c in own.columns if c not in ("low", "high")], mean("low"), mean("high"))
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source): a struct (low, high) for each metric.
+
+    A language's fences are averaged with the corpus's, which weigh as much as
+    ``prior`` documents, and a source's with its language's; so a small group
+    follows the wider one and a large one itself, with no switch between.
     """
-    # Each level is one row per group, so the joins below move only sketches.
-    fine, lang, whole = (_quantiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
-    lang = lang.select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.struct("q25", "q50", "q75", "total").alias("by_lang"))
-    whole = whole.select(F.col("metric").alias("_m2"), F.struct("q25", "q50", "q75", "total").alias("by_all"))
-    own = F.struct("q25", "q50", "q75", "total")
-    least = F.lit(0)
-    for m, x in LEAST_SPREAD.items():
-        least = F.when(F.col("metric") == m, F.lit(x)).otherwise(least)
-    picked = (
-        fine.join(lang, fine.lang.eqNullSafe(lang._l) & (fine.metric == lang._m))
-        .join(whole, F.col("metric") == F.col("_m2"))
-        .withColumn("q", F.when(F.col("total") >= least_rows, own).when(F.col("by_lang.total") >= least_rows, F.col("by_lang")).otherwise(F.col("by_all")))
-        .withColumn("room", F.greatest(spread * (F.col("q.q75") - F.col("q.q25")), least))
-    )
-    return picked.groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("metric") == m, F.struct((F.col("q.q50") - F.col("room")).alias("low"), (F.col("q.q50") + F.col("room")).alias("high")))).alias(m)
-        for m in RATIOS
-    ])
-
-
-def judged(metrics: DataFrame, fences: DataFrame) -> DataFrame:
-    """Join fences to metrics; adds base_failed and kept."""
-    own = metrics.columns
-    right = fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(m).alias(f"_f_{m}") for m in RATIOS])
-    joined = metrics.join(right, metrics.lang.eqNullSafe(right._lang) & metrics.source.eqNullSafe(right._source), "left")
+    whole = _own_fences(sketch, [])
+    lang = _shrunk(_own_fences(sketch, ["lang"]), whole, [], prior)
+    fine = _shrunk(_own_fences(sketch, ["lang", "source"]), lang, ["lang"], prior)
+    return fine.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, F.struct("low", "high"))).alias(k) for k in RATIOS])
+
+
+def _verdicts(table: DataFrame, m: str, lang: str, source: str, prior: int) -> DataFrame:
+    """``table`` with base_failed and kept, in a struct column named as the last of its columns."""
+    fences = sized(written(thresholds(sketches(table, m, lang, source), prior), "quality-fences"))
+    names = unused(table.columns, *[f"_fence_{c}" for c in fences.columns])
+    right = fences.toDF(*names)
+    joined = table.join(right, F.col(lang).eqNullSafe(F.col(names[0])) & F.col(source).eqNullSafe(F.col(names[1])), "left")
     inside = F.lit(True)
-    for m in RATIOS:
-        fence = F.col(f"_f_{m}")
-        ok = _value(m) <= fence["high"]
-        if m == "word_length":
-            ok = ok & (_value(m) >= fence["low"])
+    for k, name in zip(fences.columns[2:], names[2:], strict=True):
+        value = _value(F.col(m), k)
+        ok = value <= F.col(name)["high"]
+        if k in TWO_SIDED:
+            ok = ok & (value >= F.col(name)["low"])
         inside = inside & F.coalesce(ok, F.lit(True))
-    return joined.select(*own, base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+    failed = base_failed(F.col(m))
+    [verdict] = unused(joined.columns, "_verdict")
+    return joined.withColumn(verdict, F.struct(failed.alias("base_failed"), (~failed & inside).alias("kept"))).select(*table.columns, verdict)
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: id, metrics, base_failed, kept.
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: int = PRIOR) -> DataFrame:
+    """One row per document: id, counts, base_failed, kept.
 
-    ``docs`` needs lang and source; nulls there form groups of their own.
-    Repeated rows are judged alike; an empty table gives an empty result.
-    The slim metrics are written once, so texts are read in a single pass.
+    Nulls in language or source form groups of their own; a null or empty text
+    fails for having no words.  Repeated rows are judged alike, very long texts are
+    counted whole, other columns are not read, an empty table gives an empty
+    result.  The slim counts are written once, so texts are read in a single pass.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-    slim = docs.select(F.col(id_col), "lang", "source", F.col(text_col))
-    metrics = written(with_metrics(slim, text_col).select(id_col, "lang", "source", *own), "quality")
-    return judged(metrics, thresholds(sketches(metrics), **options))
+    slim = docs.select(F.col(id_col), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), metrics(F.col(text_col)).alias("_m"))
+    told = _verdicts(written(slim, "quality"), "_m", "_lang", "_source", prior)
+    return told.select(F.col(id_col), *[F.col("_m")[c].alias(c) for c in COUNTS], "_verdict.base_failed", "_verdict.kept")
+
 
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: int = PRIOR) -> DataFrame:
+    """The rows of ``docs`` that pass, with its columns, whatever their names.
 
-def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns; texts are not shuffled."""
+    Rows are written once with their counts beside them, so every text is counted
+    once; texts are not shuffled.  Nulls, empty and very long texts, repeated rows
+    and empty tables are treated as in ``quality_verdicts``.
+    """
     names = docs.columns
-    slim = docs.select("lang", "source", F.col(text_col))
-    metrics = with_metrics(slim, text_col).drop(text_col)
-    fences = sized(written(thresholds(sketches(metrics), **options), "quality-fences"))
-    return judged(with_metrics(docs, text_col), fences).where("kept").select(*names)
+    [m] = unused(names, "_metrics")
+    told = _verdicts(written(docs.withColumn(m, metrics(F.col(text_col))), "quality"), m, lang_col, source_col, prior)
+    return told.where(F.col(told.columns[-1])["kept"]).select(*names)

@@ -117,4 +117,61 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.h AS t
 FROM t JOIN g ON t.h = g.h
 """
 
-ORACLE_SQL = {"op2_chat": _OP2, "op10_exact_dedup": _OP10}
+_OP3 = r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT r, page_id, octet_length(encode(t)) AS n, upper(unhex_sha) AS h, t FROM (SELECT *, sha1(t) AS unhex_sha FROM p)),
+g AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST) = 1 AS first, first_value(page_id) OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST) AS keep FROM d),
+bits AS (SELECT r, string_agg(right('0000' || bin(CAST('0x' || substr(h, i, 1) AS INTEGER)), 4), '' ORDER BY i) AS b FROM g, unnest(range(1, 41)) AS u(i) GROUP BY r),
+code AS (
+  SELECT r, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(b, k, 1) AS INTEGER) + 8 * CAST(substr(b, k + 1, 1) AS INTEGER)
+    + 4 * CAST(substr(b, k + 2, 1) AS INTEGER) + 2 * CAST(substr(b, k + 3, 1) AS INTEGER) + CAST(substr(b, k + 4, 1) AS INTEGER), 1), '' ORDER BY k) AS digest
+  FROM bits, unnest(range(1, 161, 5)) AS u(k) GROUP BY r
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN NOT first THEN keep END AS refers_to
+FROM g JOIN code USING (r)
+"""
+
+
+def _op9() -> str:
+    levels = sorted({q for inner, outer, _ in quality.FENCES.values() for q in (inner, outer)})
+    at = ", ".join(f"min(CASE WHEN upto * 100 >= total * {q} THEN top END) AS q{q}" for q in levels)
+    pick = lambda f: "CASE metric " + " ".join(f"WHEN '{k}' THEN {f(*v)}" for k, v in quality.FENCES.items()) + " END"
+    high = pick(lambda inner, outer, spread: f"q{outer} + {spread} * (q{outer} - q{inner})")
+    low = pick(lambda inner, outer, spread: f"q{inner} - {spread} * (q{outer} - q{inner})")
+
+    def own(keys: str) -> str:
+        by = keys + "metric"
+        return f"""(SELECT {by}, max(total) AS total, {at} FROM (
+            SELECT {by}, (bin - shift * 16 + 1) * CAST(pow(2, shift) AS BIGINT) - 1 AS top, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+            FROM (SELECT {by}, bin, greatest(bin // 16 - 1, 0) AS shift, count(*) AS n FROM binned GROUP BY {by}, bin)) GROUP BY {by})"""
+
+    value = " UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS metric, {top} * {scale} // greatest({below}, 1) AS v FROM m WHERE n_words >= 10" for k, (top, below, scale) in quality.RATIOS.items())
+    shrink = f"floor((a.total * a.low + {quality.PRIOR} * b.low) / (a.total + {quality.PRIOR})) AS low, floor((a.total * a.high + {quality.PRIOR} * b.high) / (a.total + {quality.PRIOR})) AS high"
+    two = ", ".join(f"'{k}'" for k in sorted(quality.TWO_SIDED))
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS a, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+win AS (SELECT r, i, a[i:i + 4] AS five FROM w, unnest(range(1, len(a) - 3)) AS u(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS c FROM win) WHERE c > 1),
+covered AS (SELECT r, sum(least(5, coalesce(next - i, 5))) AS c FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM twice) GROUP BY r),
+m AS (
+  SELECT w.r, doc_id, lang, source, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(a, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines
+  FROM w LEFT JOIN covered ON covered.r = w.r
+),
+v AS ({value}),
+binned AS (SELECT *, shift * 16 + (v >> shift) AS bin FROM (SELECT *, CAST(greatest(length(bin(v)) - 5, 0) AS BIGINT) AS shift FROM v)),
+f0 AS (SELECT metric, total, {low} AS low, {high} AS high FROM {own('')}),
+f1 AS (SELECT a.lang, a.metric, {shrink} FROM (SELECT lang, metric, total, {low} AS low, {high} AS high FROM {own('lang, ')}) a JOIN f0 b ON a.metric = b.metric),
+f2 AS (SELECT a.lang, a.source, a.metric, {shrink} FROM (SELECT lang, source, metric, total, {low} AS low, {high} AS high FROM {own('lang, source, ')}) a
+  JOIN f1 b ON a.metric = b.metric AND a.lang IS NOT DISTINCT FROM b.lang),
+bad AS (SELECT DISTINCT v.r FROM v JOIN f2 ON v.metric = f2.metric AND v.lang IS NOT DISTINCT FROM f2.lang AND v.source IS NOT DISTINCT FROM f2.source
+  WHERE v.v > f2.high OR (v.metric IN ({two}) AND v.v < f2.low)),
+told AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, bad.r IS NOT NULL AS outside FROM m LEFT JOIN bad ON bad.r = m.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept FROM told
+"""
+
+
+ORACLE_SQL = {"op2_chat": _OP2, "op3_warc": _OP3, "op9_quality": _op9(), "op10_exact_dedup": _OP10}

@@ -512,6 +512,68 @@ def test_quality_metrics_and_fences(spark, docs):
     assert quality.quality_verdicts(empty(spark)).count() == 0
 
 
+def slow_bin_top(v):
+    shift = max(v.bit_length() - 5, 0)
+    return ((v >> shift) + 1 << shift) - 1
+
+
+def slow_kept(rows, prior):
+    """Whether each (text, lang, source) is kept, with fences found by sorting."""
+    found = [slow_metrics(t) for t, _, _ in rows]
+    values = []
+    for (t, _, _), (n, chars, signs, dup, rep, _) in zip(rows, found, strict=True):
+        lines = sum(1 for x in (t or "").split("\n") if words_of(x))
+        values.append({"word_length": chars * 1000 // max(n, 1), "symbols": signs * 1000 // max(n, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": rep * 1000 // max(n, 1)})
+
+    def own(members, metric):
+        inner, outer, spread = quality.FENCES[metric]
+        tops = sorted(slow_bin_top(values[i][metric]) for i in members)
+        at = lambda q: tops[max(0, -(-len(tops) * q // 100) - 1)]
+        room = spread * (at(outer) - at(inner))
+        return len(tops), at(inner) - room, at(outer) + room
+
+    def shrunk(one, wider):
+        n, low, high = one
+        return n, (n * low + prior * wider[1]) // (n + prior), (n * high + prior * wider[2]) // (n + prior)
+
+    counted = [i for i, m in enumerate(found) if m[0] >= 10]
+    kept = []
+    for i, (_, lang, source) in enumerate(rows):
+        good = not found[i][5]
+        for metric in quality.FENCES:
+            whole = own(counted, metric)
+            same = [j for j in counted if rows[j][1] == lang]
+            fine = [j for j in same if rows[j][2] == source]
+            if fine:
+                _, low, high = shrunk(own(fine, metric), shrunk(own(same, metric), whole))
+                good = good and values[i][metric] <= high and (metric not in quality.TWO_SIDED or values[i][metric] >= low)
+        kept.append(good)
+    return kept
+
+
+@pytest.mark.parametrize("prior", [0, 200])
+def test_quality_verdicts_equal_brute_force(spark, prior):
+    rng = random.Random(12)
+    rows = [(t, lang, source) for _, t, lang, source, _ in corpus()]
+    for i in range(120):
+        text = some_text(rng, rng.randint(8, 80))
+        text = text.replace(" ", " # ") if i % 17 == 0 else text.replace(" ", "\n", i % 9) if i % 3 else text + "\n" + text.split()[0] + "\n" + text.split()[0]
+        rows.append((text, ["en", "de", None][i % 3], ["a", "b", "b", None][i % 4]))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(table, prior=prior).collect()}
+    want = slow_kept(rows, prior)
+    assert [got[i] for i in range(len(rows))] == want and 10 < sum(want) < len(want) - 10
+
+
+def test_keep_good_returns_clashing_columns_as_they_are(spark):
+    rng = random.Random(13)
+    rows = [(i, some_text(rng, 40), "en", "s", -i, f"w{i}", 2 * i, "v") for i in range(30)]
+    names = ["doc_id", "text", "lang", "source", "n_words", "_metrics", "low", "_verdict"]
+    table = spark.createDataFrame(rows, names)
+    assert sorted(map(tuple, quality.keep_good(table).collect())) == rows
+    assert quality.keep_good(table).columns == names and quality.keep_good(table.limit(0)).count() == 0
+
+
 def test_bins_hold_their_values(spark):
     from pyspark.sql import functions as F
 
