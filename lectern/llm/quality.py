@@ -30,8 +30,9 @@ TWO_SIDED = frozenset(["word_length"])
 #: A group's fence is averaged with the wider group's, which counts as so many documents.
 PRIOR = 200
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-#: Bins per power of two are 2^_SUB; a bin is at most 1/16 of its value wide.
-_SUB = 4
+#: Bins per power of two are 2^SUB; a bin is at most 1/128 of its value wide, well
+#: below the spread of word lengths.
+SUB = 7
 
 
 def _let(value: Column, then) -> Column:
@@ -101,26 +102,26 @@ def _value(m: Column, metric: str) -> Column:
 
 
 def bin_of(v: Column) -> Column:
-    """Log-linear bin of a whole number >= 0: exact below 32, then 16 bins per octave."""
+    """Log-linear bin of a whole number >= 0: exact below 2^(SUB+1), then 2^SUB bins per octave."""
     bits = F.length(F.bin(v))
-    shift = F.greatest(bits - (_SUB + 1), F.lit(0))
-    return (shift * (1 << _SUB) + v / F.pow(F.lit(2.0), shift)).cast("long")
+    shift = F.greatest(bits - (SUB + 1), F.lit(0))
+    return (shift * (1 << SUB) + v / F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def bin_top(b: Column) -> Column:
     """The largest value of bin ``b``."""
-    shift = F.greatest(F.floor(b / (1 << _SUB)) - 1, F.lit(0))
-    return ((b - shift * (1 << _SUB) + 1) * F.pow(F.lit(2.0), shift) - 1).cast("long")
+    shift = F.greatest(F.floor(b / (1 << SUB)) - 1, F.lit(0))
+    return ((b - shift * (1 << SUB) + 1) * F.pow(F.lit(2.0), shift) - 1).cast("long")
 
 
 def sketches(table: DataFrame, m: str, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Mergeable sketches: (lang, source, metric, bin, n) of the documents with 10 words or more.
+    """Mergeable sketches: (lang, source, metric, bin, n) of the documents that the base rules pass.
 
     ``m`` names the struct column of ``metrics``.  Counts are summed in each task
     before they move, so a hot source costs no more than others.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bin_of(_value(F.col(m), k)).alias("bin")) for k in RATIOS]))
-    long = table.where(F.col(m)["n_words"] >= 10).select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x"))
+    long = table.where(~base_failed(F.col(m))).select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x"))
     return long.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

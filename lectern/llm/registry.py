@@ -143,15 +143,17 @@ def _op9() -> str:
     def own(keys: str) -> str:
         by = keys + "metric"
         return f"""(SELECT {by}, max(total) AS total, {at} FROM (
-            SELECT {by}, (bin - shift * 16 + 1) * CAST(pow(2, shift) AS BIGINT) - 1 AS top, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
-            FROM (SELECT {by}, bin, greatest(bin // 16 - 1, 0) AS shift, count(*) AS n FROM binned GROUP BY {by}, bin)) GROUP BY {by})"""
+            SELECT {by}, (bin - shift * {1 << quality.SUB} + 1) * CAST(pow(2, shift) AS BIGINT) - 1 AS top, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+            FROM (SELECT {by}, bin, greatest(bin // {1 << quality.SUB} - 1, 0) AS shift, count(*) AS n FROM binned GROUP BY {by}, bin)) GROUP BY {by})"""
 
-    value = " UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS metric, {top} * {scale} // greatest({below}, 1) AS v FROM m WHERE n_words >= 10" for k, (top, below, scale) in quality.RATIOS.items())
+    value = " UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS metric, {top} * {scale} // greatest({below}, 1) AS v FROM m WHERE n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words" for k, (top, below, scale) in quality.RATIOS.items())
     shrink = f"floor((a.total * a.low + {quality.PRIOR} * b.low) / (a.total + {quality.PRIOR})) AS low, floor((a.total * a.high + {quality.PRIOR} * b.high) / (a.total + {quality.PRIOR})) AS high"
     two = ", ".join(f"'{k}'" for k in sorted(quality.TWO_SIDED))
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS a, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS a, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM t),
 win AS (SELECT r, i, a[i:i + 4] AS five FROM w, unnest(range(1, len(a) - 3)) AS u(i)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS c FROM win) WHERE c > 1),
 covered AS (SELECT r, sum(least(5, coalesce(next - i, 5))) AS c FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM twice) GROUP BY r),
@@ -162,7 +164,7 @@ m AS (
   FROM w LEFT JOIN covered ON covered.r = w.r
 ),
 v AS ({value}),
-binned AS (SELECT *, shift * 16 + (v >> shift) AS bin FROM (SELECT *, CAST(greatest(length(bin(v)) - 5, 0) AS BIGINT) AS shift FROM v)),
+binned AS (SELECT *, shift * {1 << quality.SUB} + (v >> shift) AS bin FROM (SELECT *, CAST(greatest(length(bin(v)) - {quality.SUB + 1}, 0) AS BIGINT) AS shift FROM v)),
 f0 AS (SELECT metric, total, {low} AS low, {high} AS high FROM {own('')}),
 f1 AS (SELECT a.lang, a.metric, {shrink} FROM (SELECT lang, metric, total, {low} AS low, {high} AS high FROM {own('lang, ')}) a JOIN f0 b ON a.metric = b.metric),
 f2 AS (SELECT a.lang, a.source, a.metric, {shrink} FROM (SELECT lang, source, metric, total, {low} AS low, {high} AS high FROM {own('lang, source, ')}) a

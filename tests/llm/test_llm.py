@@ -513,7 +513,7 @@ def test_quality_metrics_and_fences(spark, docs):
 
 
 def slow_bin_top(v):
-    shift = max(v.bit_length() - 5, 0)
+    shift = max(v.bit_length() - quality.SUB - 1, 0)
     return ((v >> shift) + 1 << shift) - 1
 
 
@@ -536,7 +536,7 @@ def slow_kept(rows, prior):
         n, low, high = one
         return n, (n * low + prior * wider[1]) // (n + prior), (n * high + prior * wider[2]) // (n + prior)
 
-    counted = [i for i, m in enumerate(found) if m[0] >= 10]
+    counted = [i for i, m in enumerate(found) if not m[5]]
     kept = []
     for i, (_, lang, source) in enumerate(rows):
         good = not found[i][5]
