@@ -2,11 +2,14 @@
 
 Documents of a source are dealt into blocks by hash.  A source's quota is a whole
 number of block draws whose words come nearest its target.  The tree parts the
-quotas of all sources among output shards: each node hands its left half a
-multivariate-hypergeometric share.  Every shard walks its own path from the root
+quotas of all sources among output shards: each node hands the shards on its left
+a multivariate-hypergeometric share.  Every shard walks its own path from the root
 with generators seeded by node, so nothing is shared between tasks and reruns
-agree.  Shards own disjoint ranges of each source's permuted draws, and order
-their documents by a local shuffle key.
+agree.  Shards draw disjoint ranges of each source's permuted blocks, and shuffle
+the documents of their blocks among themselves.
+
+A source's draws sum to its exact quota whatever the tree does; the tree settles
+which shard draws which blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import WORD, whole_text, written
+from lectern.llm.shared import WORD, scratch, sized, unused, whole_text, written
 
 _FANOUT = 256
 _POOLS = 4
@@ -50,18 +53,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     )
 
 
-def _leaf_ranges(quotas: np.ndarray, leaf: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first draw, draws) of every source for one leaf of the splitting tree."""
+def shard_quotas(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first draw, draws) of every source for one shard: its path down the splitting tree."""
     start, mine = np.zeros_like(quotas), quotas
-    for level in range(depth):
-        node = leaf >> (depth - level)
-        rng = np.random.Generator(np.random.Philox(key=[seed, (1 << level) + node]))
-        half = int(mine.sum()) // 2
-        left = _hypergeometric(rng, mine, half)
-        if leaf >> (depth - level - 1) & 1:
-            start, mine = start + left, mine - left
+    low, high = 0, shards
+    while high - low > 1:
+        mid = (low + high) // 2
+        rng = np.random.Generator(np.random.Philox(key=[seed, low * (shards + 1) + high]))
+        left = _hypergeometric(rng, mine, int(mine.sum()) * (mid - low) // (high - low))
+        if shard < mid:
+            mine, high = left, mid
         else:
-            mine = left
+            start, mine, low = start + left, mine - left, mid
     return start, mine
 
 
@@ -78,27 +81,31 @@ def _hypergeometric(rng: np.random.Generator, colors: np.ndarray, take: int) ->
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1 << 20, least_blocks: int = 4096,
-    shard_words: int = 1 << 26, seed: int = 17,
+    shard_words: int = 1 << 26, least_shards: int = 16, seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """(placed, draws).
 
     ``placed``: one row per document: id, source, size, source_size, target, block.
     ``draws``: one row per draw of a block: source, block, copy, shard, draw.
     A document is taken once for every draw of its block, at most ``cap`` times.
-    Null text has size 0; a null source is a source; equal ids fall into one block.
+    There are a shard for each ``shard_words`` of all sizes and ``least_shards`` at
+    least.  Null, empty and very long texts count their words, null text none; a
+    null source is a source; equal ids fall into one block, so repeated rows are
+    taken alike; other columns are not read; an empty table gives empty results.
     One row per source comes to the driver: as many as there are weights to set.
     """
     spark = docs.sparkSession
-    sized = written(
+    sizes = written(
         docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size")),
         "mix-sizes",
     )
-    targets = source_targets(sized.select("source", "size"), weights, cap).withColumn(
+    targets = source_targets(sizes.select("source", "size"), weights, cap).withColumn(
         "blocks", F.greatest(F.lit(least_blocks).cast("long"), F.ceil(F.col("source_size") / block_words))
-    ).checkpoint()
+    )
+    targets = written(targets, "mix-targets")
     known = targets.select(F.col("source").alias("_s"), "source_size", "target", "blocks")
     block = F.pmod(F.xxhash64(F.lit(seed), "_id"), "blocks")
-    placed = sized.join(known, sized.source.eqNullSafe(known._s)).withColumn("block", block).drop("_s", "blocks")
+    placed = sizes.join(known, sizes.source.eqNullSafe(known._s)).withColumn("block", block).drop("_s", "blocks")
     # Blocks in pools by size, largest first, in permuted order within a pool.
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     mean = F.col("source_size") / F.greatest(F.count(F.lit(1)).over(Window.partitionBy("source")), F.lit(1))
@@ -128,7 +135,8 @@ def mix(
         F.greatest(F.max((F.col("target") - F.col("full") * F.col("source_size")) / F.greatest("source_size", F.lit(1))), F.lit(0.0)).alias("share"),
         *[F.coalesce(F.sum(F.when(F.col("pool") == k, F.col("words"))), F.lit(0)).alias(f"w{k}") for k in range(_POOLS)],
         *[F.count(F.when(F.col("pool") == k, 1)).alias(f"n{k}") for k in range(_POOLS)],
-    ).withColumn("carry", F.lit(0.0)).checkpoint()
+    ).withColumn("carry", F.lit(0.0))
+    state = written(state, "mix-state")
     for k in range(_POOLS):
         state = state.withColumn(f"goal{k}", F.when(F.col("full") < cap, F.col("share") * F.col(f"w{k}") + F.col("carry")).otherwise(F.lit(0.0)))
         goals = state.select(F.col("source").alias("_s"), F.col(f"goal{k}").alias("_g"))
@@ -136,9 +144,9 @@ def mix(
         took = own.join(goals, own.source.eqNullSafe(goals._s)).where(F.col("before") + F.col("words") / 2 <= F.col("_g")).groupBy(F.col("source").alias("_t")).agg(
             F.sum("words").alias("_tw"), F.count(F.lit(1)).alias("_tn")
         )
-        state = state.join(took, state.source.eqNullSafe(took._t), "left").withColumn(
+        state = written(state.join(took, state.source.eqNullSafe(took._t), "left").withColumn(
             "carry", F.col(f"goal{k}") - F.coalesce("_tw", F.lit(0))
-        ).withColumn(f"took{k}", F.coalesce("_tn", F.lit(0)).cast("long")).drop("_t", "_tw", "_tn").checkpoint()
+        ).withColumn(f"took{k}", F.coalesce("_tn", F.lit(0)).cast("long")).drop("_t", "_tw", "_tn"), "mix-state")
     upto = lambda name, k: sum((F.col(f"{name}{j}") for j in range(k)), F.lit(0).cast("long"))
     sums = state.select(
         F.col("source").alias("_s"), "all_blocks",
@@ -152,18 +160,18 @@ def mix(
     quota = state.withColumn("extra", upto("took", _POOLS))
     plan = quota.select("source", (F.col("all_blocks") * F.col("full") + F.col("extra")).alias("quota"), "all_blocks").orderBy(F.asc_nulls_last("source")).collect()
     names, amounts = [r.source for r in plan], np.array([r.quota for r in plan], np.int64)
-    size = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
-    depth = max(0, int(np.ceil(np.log2(max(1, size / shard_words))))) if plan else 0
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
+    shards = max(least_shards, -(-total // shard_words))
 
     def walk(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
-            for leaf in pdf["id"]:
-                start, mine = _leaf_ranges(amounts, int(leaf), depth, seed)
-                yield pd.DataFrame({"source": pd.Series(names, dtype=object), "shard": int(leaf), "first": start, "n": mine})
+            for shard in pdf["id"]:
+                start, mine = shard_quotas(amounts, int(shard), shards, seed)
+                yield pd.DataFrame({"source": pd.Series(names, dtype=object), "shard": int(shard), "first": start, "n": mine})
 
-    ranges = spark.range(1 << depth).mapInPandas(walk, "source string, shard long, first long, n long").where("n > 0")
+    ranges = spark.range(shards).mapInPandas(walk, "source string, shard long, first long, n long").where("n > 0")
     slots = ranges.select(F.col("source").alias("_s"), "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
     taken = ordered.withColumn("copies", F.col("full") + F.when(F.col("part"), 1).otherwise(0))
     copies = taken.where("copies > 0").select("source", "block", "full", "place", "part_place", "all_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
@@ -182,28 +190,37 @@ def taken(placed: DataFrame, draws: DataFrame, id_col: str = "doc_id") -> DataFr
     )
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", broadcast_blocks: int = 1_000_000, seed: int = 17, **options) -> DataFrame:
-    """The mixed documents: rows of ``docs`` repeated or left out, plus shard and shuffle_key.
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shuffled: bool = True, seed: int = 17, **options) -> DataFrame:
+    """The mixed documents: rows of ``docs`` repeated or left out, plus shard.
 
-    Blocks are looked up by broadcast while there are at most
-    ``broadcast_blocks`` of them, else by a shuffle join.  Reading a shard in
-    order of shuffle_key gives its local shuffle.
+    Columns keep their names; the new one is ``shard``, with underscores before it
+    where that is taken.  Each shard lies in one partition, its rows in the order
+    of a random key (``shuffled`` false leaves them where they were).  Draws are
+    looked up by broadcast while their table is small, else by a shuffle join.
+    Cases are treated as in ``mix``.
     """
-    placed, draws = mix(docs, id_col, source_col=source_col, seed=seed, **options)
-    per_source = placed.groupBy("source").agg(F.first("source_size").alias("n"))
-    block_words, least = options.get("block_words", 1 << 20), options.get("least_blocks", 4096)
-    per_source = per_source.select(F.col("source").alias("_ps"), F.greatest(F.lit(least).cast("long"), F.ceil(F.col("n") / block_words)).alias("_blocks"))
-    lists = written(
-        draws.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("_draws")),
-        "mix-draws",
-    )
-    sources = per_source.checkpoint()
-    small = lists.count() <= broadcast_blocks
-    if small:
-        sources, lists = F.broadcast(sources), F.broadcast(lists)
+    spark = docs.sparkSession
     names = docs.columns
-    tagged = docs.join(sources, docs[source_col].eqNullSafe(F.col("_ps"))).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), "_blocks"))
-    joined = tagged.join(lists, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return joined.select(*names, F.explode("_draws").alias("_d")).select(
-        *names, F.col("_d.shard").alias("_shard"), F.xxhash64(F.lit(seed + 2), F.col(id_col), "_d.copy", "_d.shard").alias("_shuffle_key")
-    )
+    shard, key, many, block, drawn, draw, s, b, ps = unused(names, "shard", "_key", "_many", "_block", "_drawn", "_draw", "_s", "_b", "_ps")
+    with scratch(spark) as keep:
+        placed, draws = mix(docs, id_col, text_col, source_col, seed=seed, **options)
+        block_words, least = options.get("block_words", 1 << 20), options.get("least_blocks", 4096)
+        blocks = F.greatest(F.lit(least).cast("long"), F.ceil(F.col("n") / block_words))
+        sources = written(placed.groupBy("source").agg(F.first("source_size").alias("n")).select(F.col("source").alias(ps), blocks.alias(many)), "mix-sources")
+        lists = draws.groupBy(F.col("source").alias(s), F.col("block").alias(b)).agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias(drawn))
+        lists = written(lists, "mix-draws")
+        shards = (lists.agg(F.max(F.array_max(F.transform(drawn, lambda d: d["shard"])))).first()[0] or 0) + 1
+        keep(sources, lists)
+    bounded = _draws_are_small(lists, drawn)
+    tagged = docs.join(sized(sources), docs[source_col].eqNullSafe(F.col(ps))).withColumn(block, F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), many))
+    joined = tagged.join(F.broadcast(lists) if bounded else lists, F.col(source_col).eqNullSafe(F.col(s)) & (F.col(block) == F.col(b)))
+    out = joined.select(*names, F.explode(drawn).alias(draw)).select(*names, F.col(draw)["shard"].alias(shard), F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col(draw)["copy"], F.col(draw)["shard"]).alias(key))
+    if shuffled:
+        out = out.repartition(shards, shard).sortWithinPartitions(shard, key)
+    return out.select(*names, shard)
+
+
+def _draws_are_small(lists: DataFrame, drawn: str, most_bytes: int = 64 << 20) -> bool:
+    """Whether the table of draws takes at most ``most_bytes``, sources counted by their longest name."""
+    found = lists.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(drawn)).alias("d"), F.max(F.octet_length(lists.columns[0])).alias("m")).first()
+    return found.n * (48 + (found.m or 0)) + 24 * (found.d or 0) <= most_bytes

@@ -335,19 +335,52 @@ def test_mixing_meets_targets_and_reruns_agree(spark, docs):
     assert mixing.taken(*mixing.mix(empty(spark))).count() == 0
 
 
-def test_splitting_tree_parts_quotas_exactly():
+@pytest.mark.parametrize("shards", [1, 5, 16])
+def test_splitting_tree_parts_quotas_exactly(shards):
     quotas = np.array([1000, 3, 0, 77])
-    parts = [mixing._leaf_ranges(quotas, leaf, 4, 9) for leaf in range(16)]
+    parts = [mixing.shard_quotas(quotas, k, shards, 9) for k in range(shards)]
     assert np.array_equal(sum(n for _, n in parts), quotas)
+    sums = [int(n.sum()) for _, n in parts]
+    assert max(sums) - min(sums) <= math.ceil(math.log2(shards)) if shards > 1 else sums == [1080]
     for s in range(4):
         spans = sorted((int(a[s]), int(a[s] + n[s])) for a, n in parts if n[s])
         assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False)) and (not spans or (spans[0][0], spans[-1][1]) == (0, quotas[s]))
 
 
-def test_mixture_repeats_documents_as_drawn(spark, docs):
+def test_mix_takes_near_its_targets_from_every_shard(spark):
+    rng = random.Random(21)
+    rows = [(i, some_text(rng, rng.choice([5, 40, 60, 400])), "en", "abcd"[min(3, i % 9)], 1) for i in range(900)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    placed, draws = mixing.mix(table)
+    took, target = collections.Counter(), {}
+    for r in mixing.taken(placed, draws).join(table.select("doc_id", "source"), "doc_id").collect():
+        took[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(took[s] - target[s]) <= max(400, 0.01 * target[s]) for s in target), (took, target)
+    shards = collections.Counter(r.shard for r in draws.collect())
+    assert len(shards) == 16 and max(shards.values()) - min(shards.values()) <= 4
+    other = {(r.source, r.block, r.copy): r.shard for r in mixing.mix(table, seed=18)[1].collect()}
+    assert other != {(r.source, r.block, r.copy): r.shard for r in draws.collect()}
+
+
+def test_mixture_repeats_documents_as_drawn_and_shuffles_within_shards(spark, docs):
+    from pyspark.sql import functions as F
+
     copies = {r.doc_id: r.copies for r in mixing.taken(*mixing.mix(docs)).where("doc_id between 8 and 299").collect()}
-    rows = collections.Counter(r.doc_id for r in mixing.mixture(docs).where("doc_id between 8 and 299").collect())
-    assert {k: v for k, v in copies.items() if v} == dict(rows)
+    clashing = docs.withColumns({"shard": F.lit("mine"), "_draw": F.lit(1), "size": F.lit(2)})
+    mixed = mixing.mixture(clashing)
+    assert mixed.columns == [*clashing.columns, "_shard"]
+    parts = mixed.withColumn("part", F.spark_partition_id()).collect()
+    rows = collections.Counter(r.doc_id for r in parts if r.doc_id is not None and 8 <= r.doc_id <= 299)
+    assert {k: v for k, v in copies.items() if v} == dict(rows) and {r.shard for r in parts} == {"mine"}
+    homes = collections.defaultdict(set)
+    for r in parts:
+        homes[r._shard].add(r.part)
+    assert all(len(h) == 1 for h in homes.values()) and len(homes) > 4
+    ids = [r.doc_id for r in parts if r.doc_id is not None]
+    assert ids != sorted(ids) and [r.doc_id for r in mixing.mixture(clashing).collect()] == [r.doc_id for r in parts]
+    assert mixing.mixture(empty(spark)).count() == 0
 
 
 # ---- 7: language model ---------------------------------------------------------------------
