@@ -27,7 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"VALUES (-1L, 0L, 'user', '{HOSTILE}'), (-1L, 1L, 'assistant', '{HOSTILE}') AS t(conv_id, turn, role, text)")
     conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     told = chat.format_chats(chat.linear_messages(conversations))
     turns = chat.read_back(F.col("formatted"))
