@@ -8,11 +8,12 @@ shuffled.  Matches are verified by their complete distance.  Of two segments tha
 differ in one bit, only the one with the zero bit probes.
 
 Families are joined before that: buckets of equal segments compare each member with
-the first one, which is a link per row and bucket at most.  Balls are then probed
-for fingerprints of other components only, a bounded number for each row and
-bucket; what was left out comes in later rounds, by when most of it is joined.
-Groups too large for a task are dealt out: members of the largest component in
-blocks, the others to every block.
+the first one, and a row's nearest such link is followed.  Balls are then probed for
+components: a row that meets a larger component anywhere is compared with all its
+members by their complete distance, nearest first.  So a family costs a row for each
+of its strangers and not for each pair, and what a probe or a comparison had no room
+for comes in later rounds, by when most of it is joined.  Groups and components too
+large for a task are dealt out in blocks.
 
 For near-duplicates this is the candidate search only: a pair links when the
 Jaccard similarity of its shingle sets, computed exactly, reaches the bound.
@@ -33,8 +34,11 @@ from lectern.llm.components import connected_components
 from lectern.llm.shared import scratch, sized, unused, whole_text, written
 
 _CHUNK = 1 << 18  # rows that a task compares at once
+_BLOCK = 1 << 14  # rows of a component that a task compares
 _GIANT = 1 << 20  # rows of a group from which it is dealt out
-_FIRST = 4  # partners of a row and bucket in the first round; each round takes eight times the last
+_FIRST = 4  # components that a row takes of a bucket in the first round; each round takes eight times the last
+_NEAREST = 8  # members of a component that a row is compared with exactly at first; then eight times as many
+_FEW = 8  # members of a component that are compared by a join
 _NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 45 segments of 24 bits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = "u long, v long, kind int"
@@ -124,53 +128,59 @@ def _keys(fp: Column, segments: list[tuple[int, int]], halves: int) -> Column:
     return F.array(*out)
 
 
-class _Rows:
-    """Rows of a task's groups in the order of key, component and name."""
+def _ranks(comp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The place of each row's component in the order of size and name."""
+    names, first, own = np.unique(comp, return_index=True, return_inverse=True)
+    place = np.empty(len(names), np.int64)
+    place[np.lexsort((names, size[first]))] = np.arange(len(names))
+    return place[own]
 
-    def __init__(self, key: np.ndarray, comp: np.ndarray, fid: np.ndarray, n: np.ndarray):
-        order = np.lexsort((fid, comp, key))
-        self.key, self.comp, self.fid, self.n = key[order], comp[order], fid[order], n[order]
 
+def _probed(left: tuple, right: tuple, flips: list[int | None], most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, keys with more): rows of ``left`` and the larger components that they meet in ``right``.
 
-def _matches(left: _Rows, right: _Rows, flips: list[int | None], half_ball: bool, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, keys with more): partners in ``right`` of the rows of ``left``, of other components.
-
-    Of each bucket a row takes up to ``most`` partners, beginning at a place of its
-    own.  Partners whose sizes are too far apart for the similarity ``ratio`` are
-    left out, as no set of theirs could reach it.
+    ``left`` has key, comp, fid, n, size of rows, ``right`` has key, comp, smallest n,
+    largest n, size of the components in a bucket.  Of each bucket a row takes up to
+    ``most`` components, beginning at a place of its own.  Components all of whose
+    sets there are too far from the row's size for ``ratio`` are left out.
     """
-    kinds = np.unique(np.concatenate([left.comp, right.comp]))
-    own, theirs = np.searchsorted(kinds, left.comp), np.searchsorted(kinds, right.comp)
-    starts = np.searchsorted(right.key, right.key, "left")
-    place = starts * len(kinds) + theirs
-    spin = (left.fid.view(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64)
+    key, comp, fid, n, size = left
+    ranks = _ranks(np.concatenate([comp, right[1]]), np.concatenate([size, right[4]]))
+    own, theirs = ranks[: len(key)], ranks[len(key) :]
+    order = np.lexsort((theirs, right[0]))
+    there, names, low_n, high_n, theirs = right[0][order], right[1][order], right[2][order], right[3][order], theirs[order]
+    width = len(ranks) + 1
+    place = np.searchsorted(there, there, "left") * width + theirs
+    spin = (fid.view(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64)
     us, vs, more = [], [], []
     for bit in flips:
-        at = np.arange(len(left.key))
-        if bit is not None and half_ball:
-            at = np.flatnonzero(left.key & (1 << bit) == 0)
-        asked = left.key[at] if bit is None else left.key[at] ^ (1 << bit)
-        low = np.searchsorted(right.key, asked, "left")
-        hit = low < len(right.key)
-        hit[hit] = right.key[low[hit]] == asked[hit]
-        at, asked, low = at[hit], asked[hit], low[hit]
-        high = np.searchsorted(right.key, asked, "right")
-        mine = low * len(kinds) + own[at]
-        first, last = np.searchsorted(place, mine, "left"), np.searchsorted(place, mine, "right")
-        count = (high - low) - (last - first)
+        asked = key if bit is None else key ^ (1 << bit)
+        low = np.searchsorted(there, asked, "left")
+        hit = low < len(there)
+        hit[hit] = there[low[hit]] == asked[hit]
+        at, low = np.flatnonzero(hit), low[hit]
+        high = np.searchsorted(there, asked[at], "right")
+        larger = np.searchsorted(place, low * width + own[at], "right")
+        count = high - larger
         took = np.minimum(count, most)
-        more.append(left.key[at[count > most]])
+        more.append(key[at[count > most]])
         ends = np.cumsum(took)
         who = np.repeat(np.arange(len(at)), took)
         step = np.arange(len(who)) - np.repeat(ends - took, took)
-        found = low[who] + (step + np.where(count > most, spin[at], 0)[who]) % np.maximum(count, 1)[who]
-        found += np.where(found >= first[who], (last - first)[who], 0)
-        a, b = at[who], found
-        fits = np.minimum(left.n[a], right.n[b]) >= ratio * np.maximum(left.n[a], right.n[b]) - 1e-9
-        us.append(left.fid[a[fits]])
-        vs.append(right.fid[b[fits]])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return np.minimum(u, v), np.maximum(u, v), np.unique(np.concatenate(more))
+        found = larger[who] + (step + np.where(count > most, spin[at], 0)[who]) % np.maximum(count, 1)[who]
+        a = at[who]
+        fits = (high_n[found] >= ratio * n[a] - 1e-9) & (n[a] >= ratio * low_n[found] - 1e-9)
+        us.append(fid[a[fits]])
+        vs.append(names[found[fits]])
+    return np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(more))
+
+
+def _in_buckets(key: np.ndarray, comp: np.ndarray, n: np.ndarray, size: np.ndarray) -> tuple:
+    """The components in each bucket: key, comp, smallest n, largest n, size."""
+    order = np.lexsort((comp, key))
+    key, comp, n, size = key[order], comp[order], n[order], size[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]))
+    return key[first], comp[first], np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), size[first]
 
 
 def _batch(u, v, kind: int) -> pa.RecordBatch:
@@ -184,16 +194,16 @@ def _batch(u, v, kind: int) -> pa.RecordBatch:
 
 
 def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
-    return [np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(4)]
+    return [np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(batches[0].num_columns)]
 
 
 def _heads(ratio: float):
-    """Batches of (key, fid, fid, n) sorted by key and fid -> each member of a bucket with its first one."""
+    """Batches of (key, fid, n) sorted by key and fid -> each member of a bucket with its first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
-            key, _, fid, n = _columns([batch])
+            key, fid, n = _columns([batch])
             if head is not None:
                 key, fid, n = (np.concatenate([[h], x]) for h, x in zip(head, (key, fid, n), strict=True))
             if len(key):
@@ -205,22 +215,25 @@ def _heads(ratio: float):
     return run
 
 
-def _balls(half: int, bits: int, most: int, ratio: float, chunk: int, giant: int):
-    """Batches of (key, comp, fid, n) sorted by key -> pairs, groups with more, groups too large."""
-
-    def compared(rows: _Rows) -> Iterator[pa.RecordBatch]:
-        flips: list[int | None] = list(range(half))
-        # Equal segments meet in either half; they are compared in the first one.
-        even = (rows.key >> bits) & 1 == 0
-        u, v, more = _matches(rows, rows, flips, True, most, ratio)
-        yield _batch(u, v, _PAIR)
-        yield _batch(more >> half, None, _MORE)
-        if even.any():
-            same = _Rows(rows.key[even], rows.comp[even], rows.fid[even], rows.n[even])
-            u, v, more = _matches(same, same, [None], True, most, ratio)
+_MEMBER = ["key", "comp", "fid", "n", "size"]
+
+
+def _met(rows: list[np.ndarray], half: int, bits: int, most: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """Pairs and groups with more of whole groups of rows (key, comp, fid, n, size)."""
+    key, comp, fid, n, size = rows
+    # Equal segments meet in either half; they are probed in the first one.
+    even = (key >> bits) & 1 == 0
+    for mine, flips in ((np.ones(len(key), bool), list(range(half))), (even, [None])):
+        if mine.any():
+            left = tuple(x[mine] for x in (key, comp, fid, n, size))
+            u, v, more = _probed(left, _in_buckets(left[0], left[1], left[3], left[4]), flips, most, ratio)
             yield _batch(u, v, _PAIR)
             yield _batch(more >> half, None, _MORE)
 
+
+def _balls(half: int, bits: int, most: int, ratio: float, chunk: int, giant: int):
+    """Batches of (key, comp, fid, n, size) sorted by key -> pairs, groups with more, groups too large."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         large = None  # the group that is being skipped
@@ -233,51 +246,88 @@ def _balls(half: int, bits: int, most: int, ratio: float, chunk: int, giant: int
             held.append(batch)
             if sum(b.num_rows for b in held) < chunk:
                 continue
-            key, comp, fid, n = _columns(held)
-            cut = int(np.searchsorted(key, key[-1] >> half << half, "left"))
+            rows = _columns(held)
+            last = rows[0][-1] >> half
+            cut = int(np.searchsorted(rows[0], last << half, "left"))
             if cut:
-                yield from compared(_Rows(key[:cut], comp[:cut], fid[:cut], n[:cut]))
-            if len(key) - cut >= giant:
-                large, held = int(key[-1] >> half), []
+                yield from _met([x[:cut] for x in rows], half, bits, most, ratio)
+            if len(rows[0]) - cut >= giant:
+                large, held = int(last), []
                 yield _batch(np.array([large]), None, _LARGE)
             else:
-                held = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (key, comp, fid, n)], ["key", "comp", "fid", "n"])]
+                held = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in rows], _MEMBER)]
         if held and sum(b.num_rows for b in held):
-            yield from compared(_Rows(*_columns(held)))
+            yield from _met(_columns(held), half, bits, most, ratio)
 
     return run
 
 
-def _dealt(members: DataFrame, large: DataFrame, half: int, bits: int, most: int, ratio: float, block: int) -> DataFrame:
-    """Pairs of the groups of ``large(u)``, and those of them with more.
+def _blocks(count: Column, block: int) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(count / block))
 
-    Every pair of two components has a member outside the group's largest one.
-    These are one side, all members the other; tasks get a block of each.
-    """
+
+def _spread(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+
+def _dealt(members: DataFrame, large: DataFrame, half: int, bits: int, most: int, ratio: float, block: int) -> DataFrame:
+    """Pairs of the groups of ``large(u)``, and those of them with more: blocks of rows by blocks of components in buckets."""
     rows = members.join(F.broadcast(large), F.col("g") == F.col("u"), "left_semi")
-    sizes = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    blocks = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(c / block))
-    sizes = sizes.select(F.col("g").alias("_g"), F.col("top.comp").alias("top"), blocks(F.col("all")).alias("lefts"), blocks(F.col("all") - F.col("top.n")).alias("rights"))
-    rows = rows.join(F.broadcast(sizes), F.col("g") == F.col("_g"))
-    spread = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    p, q = F.pmod(F.xxhash64("fid"), "lefts"), F.pmod(F.xxhash64("fid", F.lit(1)), "rights")
-    left = rows.select("*", p.alias("p"), F.explode(spread("rights")).alias("q"), F.lit(True).alias("side"))
-    right = rows.where("comp <> top").select("*", F.explode(spread("lefts")).alias("p"), q.alias("q"), F.lit(False).alias("side"))
+    kinds = rows.groupBy("g", "key", "comp").agg(F.min("n").alias("n"), F.max("n").alias("fid"), F.first("size").alias("size"))
+    sizes = rows.groupBy("g").agg(_blocks(F.count(F.lit(1)), block).alias("lefts"))
+    sizes = sizes.join(kinds.groupBy("g").agg(_blocks(F.count(F.lit(1)), block).alias("rights")), "g").withColumnRenamed("g", "_g")
+    sizes = F.broadcast(written(sizes, "simhash-sizes"))
+    left = rows.join(sizes, F.col("g") == F.col("_g")).select("*", F.pmod(F.xxhash64("fid"), "lefts").alias("p"), _spread("rights").alias("q"), F.lit(True).alias("side"))
+    right = kinds.join(sizes, F.col("g") == F.col("_g")).select("*", F.pmod(F.xxhash64("comp"), "rights").alias("q"), _spread("lefts").alias("p"), F.lit(False).alias("side"))
+    shown = ["g", "p", "q", "side", *_MEMBER]
 
     def compare(table: pa.Table) -> pa.Table:
-        sides = [_Rows(*(part.column(c).to_numpy() for c in ("key", "comp", "fid", "n"))) for part in (table.filter(table["side"]), table.filter(pa.compute.invert(table["side"])))]
-        flips: list[int | None] = list(range(half))
-        if int(sides[0].key[0]) >> bits & 1 == 0 if len(sides[0].key) else False:
-            flips.append(None)
-        u, v, more = _matches(sides[1], sides[0], flips, False, most, ratio) if len(sides[0].key) and len(sides[1].key) else (*[np.zeros(0, np.int64)] * 3,)
+        side = table.column("side").to_numpy()
+        key, comp, fid, n, size = (table.column(c).to_numpy() for c in _MEMBER)
+        mine, theirs = tuple(x[side] for x in (key, comp, fid, n, size)), tuple(x[~side] for x in (key, comp, n, fid, size))
+        flips: list[int | None] = [*range(half), *([None] if not int(key[0]) >> bits & 1 else [])]
+        u, v, more = _probed(mine, theirs, flips, most, ratio)
         return pa.Table.from_batches([_batch(u, v, _PAIR), _batch(more >> half, None, _MORE)])
 
-    return left.union(right).select("g", "p", "q", "side", "key", "comp", "fid", "n").groupBy("g", "p", "q").applyInArrow(compare, _PAIRS)
+    return left.select(*shown).union(right.select(*shown)).groupBy("g", "p", "q").applyInArrow(compare, _PAIRS)
+
+
+def _nearest(asked: DataFrame, homes: DataFrame, most: int, take: int, block: int) -> DataFrame:
+    """(u, v, d, kind): the ``take`` nearest members, within ``most``, of the component v of ``asked(u, v, fu)``; of kind _MORE those (u, v) with more.
+
+    Blocks of members by blocks of rows; a row takes the nearest of each block.
+    """
+    counts = asked.groupBy("v").agg(_blocks(F.count(F.lit(1)), block).alias("lefts"))
+    held = homes.where(F.col("size") > _FEW).join(sized(written(counts, "simhash-counts")), F.col("comp") == F.col("v")).select("v", "fid", "fp", "lefts", _blocks(F.col("size"), block).alias("rights"))
+    rights = held.select("v", "lefts", "rights").distinct().withColumnRenamed("v", "_v")
+    left = asked.join(sized(written(rights, "simhash-blocks")), F.col("v") == F.col("_v")).select("v", F.col("u").alias("fid"), F.col("fu").alias("fp"), F.pmod(F.xxhash64("u"), "lefts").alias("p"), _spread("rights").alias("q"), F.lit(True).alias("side"))
+    right = held.select("v", "fid", "fp", F.lit(0).cast("long").alias("p"), F.pmod(F.xxhash64("fid"), "rights").alias("q"), F.lit(False).alias("side"), "lefts")
+    right = right.select("v", "fid", "fp", _spread("lefts").alias("p"), "q", "side")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table.column("side").to_numpy()
+        fid, v = table.column("fid").to_numpy(), table.column("v").to_numpy()
+        column = table.column("fp").combine_chunks()
+        fp = column.flatten().to_numpy().view(np.uint64).reshape(len(fid), -1)
+        names, prints = fid[~side], fp[~side]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+        for row, own in zip(fid[side], fp[side], strict=True):
+            far = np.bitwise_count(prints ^ own).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(far <= most)
+            if len(near) > take:
+                out.append([np.array([row]), v[:1], np.array([0]), np.array([_MORE])])
+                near = near[np.argsort(far[near], kind="stable")[:take]]
+            out.append([np.full(len(near), row), names[near], far[near], np.full(len(near), _PAIR)])
+        u, m, d, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(m, pa.int64()), "d": pa.array(d, pa.int32()), "kind": pa.array(kind, pa.int32())})
+
+    return left.unionByName(right).groupBy("v", "p", "q").applyInArrow(compare, "u long, v long, d int, kind int")
 
 
 def linked(
     prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, exactly: Callable[[DataFrame], DataFrame] | None = None,
-    ratio: float = 0.0, chunk: int = _CHUNK, giant: int = _GIANT,
+    ratio: float = 0.0, chunk: int = _CHUNK, giant: int = _GIANT, block: int = _BLOCK, limit: int = _FIRST, take: int = _NEAREST,
 ) -> DataFrame:
     """(node, root) over the distinct fingerprints of ``prints(fid, fp)`` that link to another.
 
@@ -288,8 +338,8 @@ def linked(
     ``n`` of ``prints``, are further apart cannot link.
 
     Pairs of one component are not looked at again, and none of another is left
-    out: rounds go on for the groups whose rows had more partners than a round
-    takes.
+    out: rounds go on for the groups whose rows met more components than a round
+    takes, and for the rows with more near members of a component than were tried.
     """
     spark = prints.sparkSession
     bits = segments[0][1]
@@ -300,45 +350,58 @@ def linked(
         edges = roots = None
 
         def joined(pairs: DataFrame) -> None:
-            """Verify ``pairs`` and take the links among them into ``edges`` and ``roots``."""
+            """Take the links among ``pairs(u, v)``, which are near, into ``edges`` and ``roots``."""
             nonlocal edges, roots
-            near = written(_verified(pairs, prints, words, most), "simhash-near")
-            if near.isEmpty() and roots is not None:
-                return
-            if exactly is None:
-                tried = [near.select("u", "v")]
-            else:  # a row's nearest partner first; most of the others are then of its component
-                ends = near.select(F.col("u").alias("x"), "u", "v", "d").union(near.select(F.col("v").alias("x"), "u", "v", "d"))
-                best = ends.groupBy("x").agg(F.min(F.struct("d", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
-                tried = [best, near.join(best, ["u", "v"], "left_anti").select("u", "v")]
-            for k, some in enumerate(tried):
-                if k:
-                    for c in ("u", "v"):
-                        some = some.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-                    some = some.where(~F.coalesce("ru", "u").eqNullSafe(F.coalesce("rv", "v"))).select("u", "v")
-                true = written(exactly(some) if exactly else some, "simhash-links")
-                if not true.isEmpty():
-                    edges = true if edges is None else edges.union(true)
-                    roots = connected_components(edges)
-                elif roots is None:
-                    roots = connected_components(true)
-
-        stored = prints.select(F.explode(_keys(F.col("fp"), segments, 1)).alias("key"), F.lit(0).cast("long").alias("comp"), "fid", "n")
+            true = written(exactly(pairs) if exactly else pairs, "simhash-links")
+            if roots is None or not true.isEmpty():
+                edges = true if edges is None else edges.union(true)
+                roots = connected_components(edges)
+
+        def apart(pairs: DataFrame) -> DataFrame:
+            """The (u, v) that are of different components by now."""
+            for c in ("u", "v"):
+                pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+            return pairs.where(~F.coalesce("ru", "u").eqNullSafe(F.coalesce("rv", "v"))).select("u", "v")
+
+        stored = prints.select(F.explode(_keys(F.col("fp"), segments, 1)).alias("key"), "fid", "n")
         stars = stored.repartition("key").sortWithinPartitions("key", "fid").mapInArrow(_heads(ratio), _PAIRS)
-        joined(written(stars.select("u", "v").distinct(), "simhash-stars"))
-        limit, open_groups = _FIRST, None
+        stars = written(stars.select("u", "v").distinct(), "simhash-stars")
+        near = _verified(stars, prints, words, most)
+        if exactly:  # a row's nearest first one only
+            ends = near.select(F.col("u").alias("x"), "u", "v", "d").union(near.select(F.col("v").alias("x"), "u", "v", "d"))
+            near = ends.groupBy("x").agg(F.min(F.struct("d", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
+        joined(near.select("u", "v"))
+        open_groups = None
         while True:
-            homes = prints.join(roots, F.col("fid") == F.col("node"), "left").select("fid", "fp", "n", F.coalesce("root", "fid").alias("comp"))
-            members = homes.select(F.explode(_keys(F.col("fp"), segments, 2)).alias("key"), "comp", "fid", "n")
+            sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("s")).withColumnRenamed("root", "_root")
+            of = roots.join(sizes, F.col("root") == F.col("_root")).select("node", "root", "s")
+            homes = prints.join(of, F.col("fid") == F.col("node"), "left").select("fid", "fp", "n", F.coalesce("root", "fid").alias("comp"), F.coalesce("s", F.lit(1)).cast("long").alias("size"))
+            homes = written(homes, "simhash-homes")
+            members = homes.select(F.explode(_keys(F.col("fp"), segments, 2)).alias("key"), "comp", "fid", "n", "size")
             members = members.withColumn("g", F.shiftright("key", half))
             if open_groups is not None:
                 members = members.join(sized(open_groups), F.col("g") == F.col("u"), "left_semi")
-            told = members.repartition("g").sortWithinPartitions("key").select("key", "comp", "fid", "n")
+            told = members.repartition("g").sortWithinPartitions("key").select(*_MEMBER)
             told = written(told.mapInArrow(_balls(half, bits, limit, ratio, chunk, giant), _PAIRS), "simhash-told")
             large = told.where(F.col("kind") == _LARGE).select("u").distinct()
             if not large.isEmpty():
                 told = told.union(written(_dealt(members, large, half, bits, limit, ratio, giant), "simhash-dealt"))
-            joined(told.where(F.col("kind") == _PAIR).select("u", "v").distinct())
+            meets = told.where(F.col("kind") == _PAIR).select("u", "v").distinct()
+            mine = homes.select(F.col("fid").alias("u"), F.col("fp").alias("fu"))
+            meets = written(meets.join(mine, "u").select("u", "v", "fu"), "simhash-meets")
+            few = homes.where(F.col("size") <= _FEW).select(F.col("comp").alias("v"), F.col("fid").alias("m"), F.col("fp").alias("fm"))
+            near = meets.join(few, "v").select("u", F.col("m").alias("v"), _distance("fu", "fm", words).alias("d")).where(F.col("d") <= most)
+            many = homes.where(F.col("size") > _FEW).select(F.col("comp").alias("v")).distinct()
+            crowd, some = written(meets.join(sized(written(many, "simhash-many")), "v", "left_semi"), "simhash-crowd"), take
+            if crowd.isEmpty():
+                joined(near.select("u", "v"))
+            else:
+                while not crowd.isEmpty():
+                    tried = written(_nearest(crowd, homes, most, some, block), "simhash-nearest")
+                    pairs = tried.where(F.col("kind") == _PAIR).select("u", "v")
+                    joined(pairs if some > take else near.select("u", "v").union(pairs))
+                    left = apart(tried.where(F.col("kind") == _MORE).select("u", "v").distinct())
+                    crowd, some = written(crowd.join(left, ["u", "v"], "left_semi"), "simhash-crowd"), some * 8
             open_groups = written(told.where(F.col("kind") == _MORE).select("u").distinct(), "simhash-more")
             if open_groups.isEmpty():
                 keep(roots)
@@ -384,33 +447,52 @@ def _text_hash(text_col: str) -> Column:
 
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, seed: int = 42) -> DataFrame:
-    """(id, text hash, fid, n, fp, shingles) of every row: the set of its shingles' hashes, sorted, and the fingerprint of the set.
+    """(id, text hash, a shorter one, fid, n, fp) of every row: name, size and fingerprint of the set of its shingles.
 
-    ``fid`` names the set, ``n`` is its size.
+    Sets are named by 64 bits of a hash over them; two different sets of one name
+    would be taken for one, which among 10^9 texts has a chance of 3 %.
     """
-    given = docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_sha"), F.col(text_col).alias("_t"))
-    schema = given.selectExpr("_id", "_sha", "0L fid", "0L n", "array(0L) fp", "binary('') shingles").schema
+    given = docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_sha"), F.xxhash64(whole_text(text_col)).alias("_hash"), F.col(text_col).alias("_t"))
+    schema = given.selectExpr("_id", "_sha", "_hash", "0L fid", "0L n", "array(0L) fp").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fids, sizes, prints, sets = [], [], [], []
-            for t in batch.column(2):
-                own = np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(t.as_py(), width, seed)]))
-                sets.append(own.tobytes())
-                fids.append(xxhash.xxh64_intdigest(sets[-1]))
+            fids, sizes, prints = [], [], []
+            for t in batch.column(3):
+                name, own = _shingle_set(t.as_py(), width, seed)
+                fids.append(name)
                 sizes.append(len(own))
                 prints.append(_print_of(iter([own]), words).view(np.int64).tolist())
-            fids = pa.array(np.array(fids, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), fids, pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["_id", "_sha", "fid", "n", "fp", "shingles"]
+                [*batch.columns[:3], pa.array(fids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
+                ["_id", "_sha", "_hash", "fid", "n", "fp"]
             )
 
     return given.mapInArrow(run, schema)
 
 
-def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (u, v) of ``sets(fid, n, shingles)`` with a Jaccard similarity of ``similarity`` or more."""
+def _shingle_set(text: str | None, width: int, seed: int) -> tuple[int, np.ndarray]:
+    """(name, sorted hashes) of the set of a text's shingles."""
+    own = np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(text, width, seed)]))
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)), own
+
+
+def _sets(texts: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(fid, shingles) of every text of the one column of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingle_set(t.as_py(), width, seed) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["fid", "shingles"])
+
+    return texts.mapInArrow(run, "fid long, shingles binary")
+
+
+def _alike(docs: DataFrame, text_col: str, each: DataFrame, width: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (u, v) of ``each(fid, _hash)`` with a Jaccard similarity of ``similarity`` or more.
+
+    Sets are made again from the texts that pairs ask for, as few are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,9 +507,11 @@ def _alike(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFram
         pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():
             return pairs
-        asked = sized(written(pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "near-asked"))
-        held = sets.join(asked, sets.fid == asked.f, "left_semi").groupBy("fid").agg(F.first("shingles").alias("s"))
-        held = written(held, "near-sets")
+        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "near-asked")
+        texts = each.join(sized(asked), each.fid == asked.f, "left_semi").groupBy("fid").agg(F.min("_hash").alias("h")).select("h").distinct()
+        given = docs.select(F.col(text_col).alias("_t"), F.xxhash64(whole_text(text_col)).alias("_hash"))
+        given = given.join(sized(written(texts, "near-texts")), F.col("_hash") == F.col("h"), "left_semi").select("_t")
+        held = written(_sets(given, width).groupBy("fid").agg(F.first("shingles").alias("s")), "near-sets")
         for c in ("u", "v"):
             pairs = pairs.join(held.select(F.col("fid").alias(c), F.col("s").alias(f"s{c}")), c)
         return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
@@ -487,7 +571,7 @@ def near_dedup(
     with scratch(spark) as keep:
         each = written(_shingled(docs, id_col, text_col, width, words), "near-fp")
         prints = written(each.groupBy("fid").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-prints")
-        exactly = _alike(each.select("fid", "shingles"), similarity)
+        exactly = _alike(docs, text_col, each.select("fid", "_hash"), width, similarity)
         roots = linked(prints, _segments(bits, n, total), words, most, exactly=exactly, ratio=similarity)
         # One row for each id and text, so a hot text is counted before it moves.
         distinct = each.groupBy("_id", "_sha", "fid").agg(F.count(F.lit(1)).alias("times"))

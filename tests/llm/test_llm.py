@@ -163,10 +163,12 @@ def test_simhash_components_equal_brute_force(spark, docs):
     assert simhash.simhash_components(empty(spark)).count() == 0
 
 
-def test_linking_a_crowded_family_is_exact(spark):
+@pytest.mark.parametrize("options", [{}, {"chunk": 64, "giant": 96, "block": 16, "limit": 1, "take": 1}])
+def test_linking_a_crowded_family_is_exact(spark, options):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = {base ^ (1 << a) ^ (1 << b) ^ (1 << c) for a in range(0, 64, 5) for b in range(1, 64, 9) for c in (2, 40)} | {rng.getrandbits(64) for _ in range(50)}
+    fps |= {1 << a for a in range(0, 64, 3)} | {0, 1 | 2 | 4 | 8 | 1 << 40}  # a family about zero
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     prints = spark.createDataFrame([(f, [f]) for f in fps], "fid long, fp array<bigint>")
     mask = (1 << 64) - 1
@@ -174,7 +176,7 @@ def test_linking_a_crowded_family_is_exact(spark):
     root = slow_components(near, len(fps))
     linked = {i for p in near for i in p}
     want = {fps[i]: fps[root[i]] for i in linked}
-    got = {r.node: r.root for r in simhash.linked(prints, [(0, 32), (32, 32)], 1, 2).collect()}
+    got = {r.node: r.root for r in simhash.linked(prints, [(0, 32), (32, 32)], 1, 2, **options).collect()}
     assert {k: got[k] for k in want} == want and set(got) == set(want)
 
 
