@@ -8,7 +8,7 @@ shuffled.  Matches are verified by their complete distance.  Of two segments tha
 differ in one bit, only the one with the zero bit probes.
 
 Families are joined before that: buckets of equal segments compare each member with
-the first one, and a row's nearest such link is followed.  Balls are then probed for
+the first one, a row's nearest link before its others.  Balls are then probed for
 components: a row that meets a larger component anywhere is compared with all its
 members by their complete distance, nearest first.  So a family costs a row for each
 of its strangers and not for each pair, and what a probe or a comparison had no room
@@ -36,8 +36,8 @@ from lectern.llm.shared import scratch, sized, unused, whole_text, written
 _CHUNK = 1 << 18  # rows that a task compares at once
 _BLOCK = 1 << 14  # rows of a component that a task compares
 _GIANT = 1 << 20  # rows of a group from which it is dealt out
-_FIRST = 4  # components that a row takes of a bucket in the first round; each round takes eight times the last
-_NEAREST = 8  # members of a component that a row is compared with exactly at first; then eight times as many
+_FIRST = 16  # components that a row takes of a bucket in the first round; each round takes 16 times the last
+_NEAREST = 64  # members of a component that a row is compared with exactly at first; then 16 times as many
 _FEW = 8  # members of a component that are compared by a join
 _NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 45 segments of 24 bits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -366,11 +366,14 @@ def linked(
         stored = prints.select(F.explode(_keys(F.col("fp"), segments, 1)).alias("key"), "fid", "n")
         stars = stored.repartition("key").sortWithinPartitions("key", "fid").mapInArrow(_heads(ratio), _PAIRS)
         stars = written(stars.select("u", "v").distinct(), "simhash-stars")
-        near = _verified(stars, prints, words, most)
-        if exactly:  # a row's nearest first one only
+        near = written(_verified(stars, prints, words, most), "simhash-near")
+        if exactly:  # a row's nearest first one before the others, most of which are then of its component
             ends = near.select(F.col("u").alias("x"), "u", "v", "d").union(near.select(F.col("v").alias("x"), "u", "v", "d"))
-            near = ends.groupBy("x").agg(F.min(F.struct("d", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
-        joined(near.select("u", "v"))
+            best = ends.groupBy("x").agg(F.min(F.struct("d", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
+            joined(best)
+            joined(apart(near.join(best, ["u", "v"], "left_anti").select("u", "v")))
+        else:
+            joined(near.select("u", "v"))
         open_groups = None
         while True:
             sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("s")).withColumnRenamed("root", "_root")
@@ -401,12 +404,12 @@ def linked(
                     pairs = tried.where(F.col("kind") == _PAIR).select("u", "v")
                     joined(pairs if some > take else near.select("u", "v").union(pairs))
                     left = apart(tried.where(F.col("kind") == _MORE).select("u", "v").distinct())
-                    crowd, some = written(crowd.join(left, ["u", "v"], "left_semi"), "simhash-crowd"), some * 8
+                    crowd, some = written(crowd.join(left, ["u", "v"], "left_semi"), "simhash-crowd"), some * 16
             open_groups = written(told.where(F.col("kind") == _MORE).select("u").distinct(), "simhash-more")
             if open_groups.isEmpty():
                 keep(roots)
                 return roots
-            limit *= 8
+            limit *= 16
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, words: int, most: int) -> DataFrame:
