@@ -1,8 +1,8 @@
 """Word-list scans: one row for each line and entry that occurs in it.
 
 Entries are known when the query is planned, so each is an expression with a
-constant pattern: no join, one compiled pattern per entry and task.  A cheap
-test against all entries of a list goes first.
+constant pattern: no join, one compiled pattern per entry and task.  The literal
+part of an entry is looked for first.
 """
 
 from __future__ import annotations
@@ -12,32 +12,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.patterns import any_of, spark, whole_word
-from lectern.functions.relations import Corpus
+from lectern.functions.patterns import needles, spark, whole_word
+from lectern.functions.relations import Corpus, settled
 from lectern.functions.scalars import prose, without_code
 from lectern.operators.findings import finding
 from lectern.operators.wordlist_data import WORDLISTS
 
-_CHUNK = 25
-
-
 def pattern_of(entry: tuple[str, str, str | None, str | None]) -> str:
     return entry[3] or whole_word(entry[2] or "")
 
 
+def _may_hold(pattern: str) -> Column:
+    """A cheap test on ``low``, the text in lower case, that every line with a match passes."""
+    some = needles(pattern)
+    return reduce(Column.__or__, [F.col("low").contains(n) for n in dict.fromkeys(some)]) if some else F.lit(True)
+
+
 def scan(lines: DataFrame, text: Column, entries: list[tuple[str, str, str | None, str | None]]) -> DataFrame:
-    """doc_id, line_no, raw, said, entry (its place), rule_id, category, hit: first match of each entry in a line."""
-    said = lines.withColumn("said", text)
-    parts = []
-    for at in range(0, len(entries), _CHUNK):
-        some = list(enumerate(entries))[at : at + _CHUNK]
-        any_hit = F.col("said").rlike(spark(any_of([pattern_of(e) for _, e in some]), ignore_case=True))
-        hits = F.array(*[
-            F.struct(F.lit(k).alias("entry"), F.lit(e[0]).alias("rule_id"), F.lit(e[1]).alias("category"), F.regexp_extract("said", spark(f"({pattern_of(e)})", ignore_case=True), 1).alias("hit"))
-            for k, e in some
-        ])
-        parts.append(said.where(any_hit).select("doc_id", "line_no", "raw", "said", F.explode(F.filter(hits, lambda h: h["hit"] != "")).alias("h")))
-    return reduce(DataFrame.unionByName, parts).select("doc_id", "line_no", "raw", "said", "h.*")
+    """doc_id, line_no, raw, said, entry (its place), rule_id, category, hit: first match of each entry in a line.
+
+    One pass: lines that hold no entry's literal part go first, then each entry's
+    pattern runs where its own literal part occurs.
+    """
+    rows = settled(lines.select("doc_id", "line_no", "raw", text.alias("said"))).withColumn("low", F.lower("said"))
+    rows = settled(rows)
+    tests = [_may_hold(pattern_of(e)) for e in entries]
+    hits = F.array(*[
+        F.when(test, F.struct(F.lit(k).alias("entry"), F.lit(e[0]).alias("rule_id"), F.lit(e[1]).alias("category"), F.regexp_extract("said", spark(f"({pattern_of(e)})", ignore_case=True), 1).alias("hit")))
+        for k, (e, test) in enumerate(zip(entries, tests, strict=True))
+    ])
+    held = rows.where(reduce(Column.__or__, tests)).select("doc_id", "line_no", "raw", "said", F.explode(F.filter(hits, lambda h: h["hit"] != "")).alias("h"))
+    return held.select("doc_id", "line_no", "raw", "said", "h.*")
 
 
 def banned_phrases(c: Corpus) -> DataFrame:
