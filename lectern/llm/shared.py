@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
@@ -20,11 +22,17 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
     Where only ``SparkContext.setCheckpointDir`` was called, that folder.  With
-    neither there is no folder that executors are known to see, so this raises.
+    neither, a session whose driver is its only machine (master ``local``) gets a
+    temporary folder; on a cluster there is none that executors are known to see,
+    so this raises.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
