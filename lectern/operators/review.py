@@ -51,7 +51,7 @@ def document_report(findings: DataFrame) -> DataFrame:
 
 def manual_queue(rules: DataFrame, types: DataFrame) -> DataFrame:
     """doc_id, rule_id of the rules that only a reader can judge, by document type."""
-    return types.join(F.broadcast(rules.where("tier = 3").limit(10_000)), F.array_contains("doc_types", "all") | F.expr("array_contains(doc_types, doc_type)")).select("doc_id", "rule_id")
+    return types.join(rules.where("tier = 3"), F.array_contains("doc_types", "all") | F.expr("array_contains(doc_types, doc_type)")).select("doc_id", "rule_id")
 
 
 def candidate_ids(candidates: DataFrame, docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lectern.operators.api_ref import API_CHECKS
 from lectern.operators.candidates import GENERATORS
 from lectern.operators.findings import finding, union
 from lectern.operators.registry import CHECKS
-from lectern.plans import oracles
+from lectern.plans import oracles, sweep
 from lectern.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,26 +36,20 @@ LINE_CHECKS = [
     "em_dash_semicolon", "present_continuous", "embedded_question_phrases", "retry_attempt_count_bold", "conditional_framing", "additional_resource_phrasing",
     "internal_link_form", "typographic_substitutes", "no_emoji", "sentence_concision", "skimmable_sentence", "over_promise", "bare_domain", "qa_headers", "duplicate_links",
 ]
-LINE_GENERATORS = ["defect_framing", "internal_disclosure", "enumeration_completeness", "vague_quantifier", "casual_register", "limitations_coverage", "routing_only", "false_contrast"]
+#: Texts of some rules, as a registry of rules would hold them.
+RULE_TEXTS = [("C3-05", "No dashes or semicolons between clauses"), ("C3-19", "Simple present, not present continuous"), ("C3-07", "One idea in a sentence"), ("C8-10", "Promise no more than the product does")]
 
 
 def all_findings(c: Corpus, names: list[str] | None = None) -> DataFrame:
     """The named checks (all by default) over one corpus, as one relation.
 
     Each check is its own branch; with all fifty the plan is large, so a sweep
-    over a corpus writes branch by branch (see ``sweep``).
+    over a corpus writes branch by branch (see ``plans.sweep``).
     """
     types = structure.doc_types(c)
     return union([CHECKS[n](c, types) for n in names or CHECKS])
 
 
-def sweep(c: Corpus, folder: str) -> None:
-    """Append the findings of every check to a table, partitioned by check."""
-    types = structure.doc_types(c)
-    for name, check in CHECKS.items():
-        check(c, types).write.mode("overwrite").parquet(f"{folder}/check={name}")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Present continuous over the raw documents, rolled up by rule."""
     c = Corpus(corpora.plain_documents(spark, sf_dir))
@@ -100,6 +94,21 @@ def _over_findings(then: Callable[[DataFrame, Corpus], DataFrame]) -> Query:
     return run
 
 
+def _over_sweep(then: Callable[[DataFrame, Corpus], DataFrame]) -> Query:
+    """A query over the findings of all checks, without those that documents are exempt from."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = derived(spark, sf_dir)
+        return then(review.not_exempt(sweep.sweep(c), c.docs), c)
+
+    return run
+
+
+def _with_text(f: DataFrame, c: Corpus) -> DataFrame:
+    rules = f.sparkSession.createDataFrame(RULE_TEXTS, "rule_id string, rule string")
+    return sweep.with_rule_text(f, rules).groupBy("rule_id", "rule").agg(F.count(F.lit(1)).alias("findings"))
+
+
 def first_use_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = derived(spark, sf_dir)
     return rewrites.acronym_rewrites(c, prose.acronym_first_use(c))
@@ -108,7 +117,7 @@ def first_use_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems that the dash rewrites cause, by the integrity checks: each line as a document."""
     rows = rewrites.rewrites(derived(spark, sf_dir), "dashes").where("clean")
-    pairs = rows.select((F.col("doc_id") * 100_000 + F.col("line_no")).alias("doc_id"), "before", "after")
+    pairs = rows.select(F.struct("doc_id", "line_no").alias("doc_id"), "before", "after")
     return rewrites.edit_problems(pairs).groupBy("problem").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -139,7 +148,7 @@ QUERIES: dict[str, Query] = {
     "page_headings": page_headings,
     **{f"api_{name}": (lambda spark, sf_dir, check=check: check(Corpus(corpora.derived_api_pages(spark, sf_dir)))) for name, check in API_CHECKS.items()},
     **{f"candidates_{name}": _relation(g) for name, g in GENERATORS.items()},
-    "candidate_counts": _relation(lambda c: union([GENERATORS[g](c) for g in LINE_GENERATORS]).groupBy("rule_id", "generator").agg(F.count(F.lit(1)).alias("candidates"))),
+    "candidate_counts": _relation(lambda c: sweep.sweep_candidates(c).groupBy("rule_id", "generator").agg(F.count(F.lit(1)).alias("candidates"))),
     **{f"rewrite_{family}": (lambda spark, sf_dir, family=family: rewrites.rewrites(derived(spark, sf_dir), family)) for family in rewrites.FAMILIES},
     "rewrite_acronyms": first_use_rewrites,
     "dash_edit_integrity": dash_edits,
@@ -147,7 +156,12 @@ QUERIES: dict[str, Query] = {
     "reconcile_verdicts": reconciled,
     "rollup_by_rule": _over_findings(lambda f, c: review.rollup_by_rule(review.not_exempt(f, c.docs))),
     "corpus_summary": _over_findings(lambda f, c: review.corpus_summary(review.not_exempt(f, c.docs), c.docs)),
-    "document_reports": _over_findings(lambda f, c: review.document_report(f)),
+    "rule_text_rollup": _over_findings(_with_text),
+    "first_tier_findings": _over_findings(lambda f, c: f.where("tier = 1").select("doc_id", "line_no", "rule_id", "check_id")),
+    "sweep_rollup_by_rule": _over_sweep(lambda f, c: review.rollup_by_rule(f)),
+    "sweep_summary": _over_sweep(lambda f, c: review.corpus_summary(f, c.docs)),
+    "document_reports": _over_sweep(lambda f, c: review.document_report(f)),
+    "json_reports": _over_findings(lambda f, c: sweep.json_reports(f)),
 }
 
-ORACLE_SQL: dict[str, str] = {"flagship": oracles.flagship(), **oracles.checks(), **oracles.relations(), **oracles.rollups(), **oracles.candidates()}
+ORACLE_SQL: dict[str, str] = {"flagship": oracles.flagship(), **oracles.checks(), **oracles.relations(), **oracles.rollups(RULE_TEXTS), **oracles.candidates()}

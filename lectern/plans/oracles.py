@@ -9,7 +9,7 @@ from __future__ import annotations
 from lectern.functions.patterns import any_of, whole_word
 from lectern.operators.structure_data import ACRONYMS
 from lectern.operators.wordlist_data import WORDLISTS
-from lectern.sources.corpora import derived_sql
+from lectern.sources.corpora import PAGE_STEPS, derived_sql
 
 
 def q(text: str) -> str:
@@ -114,6 +114,18 @@ def _acronyms() -> str:
     return f"WITH said AS (SELECT doc_id, line_no, {NO_CODE} AS said FROM l) SELECT doc_id, used AS line_no FROM ({' UNION ALL '.join(parts)}) WHERE used IS NOT NULL AND (told IS NULL OR told > used)"
 
 
+SLUGS = r""", h1 AS (SELECT doc_id, line_no, level, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '`([^`]*)`', '\1', 'g'), '\*\*([^*]*)\*\*', '\1', 'g'), '[^\w\s-]', '', 'g'), '\s', '-', 'g') AS slug FROM h),
+hs AS (SELECT doc_id, line_no, level, slug || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line_no) AS k FROM h1))"""
+
+
+def pages_sql() -> str:
+    """The derived pages in SQL: relation ``derived(doc_id, path, text)``."""
+    text = "coalesce(html, '')"
+    for pattern, put in PAGE_STEPS:
+        text = f"regexp_replace({text}, {q(pattern)}, {q(put)}, 'g')"
+    return f"derived AS (SELECT page_id AS doc_id, 'pages/' || page_id || '.md' AS path, {text} AS text FROM pages)"
+
+
 def checks() -> dict[str, str]:
     one = lambda where, check, tier, rule, rel="l": finding(f"SELECT * FROM {rel} WHERE {where}", check, tier, rule)
     m = lambda p, text="raw": f"regexp_matches({text}, {q(p)})"
@@ -187,8 +199,7 @@ def checks() -> dict[str, str]:
   suffix(text, '.') OR regexp_matches(text, '<[A-Z_]+>') OR regexp_matches(text, '"[a-z_]+"|`[a-z_]+`') AS output,
   (SELECT regexp_matches(arg_min(o.raw, o.line_no), '^\s*\*\*Root Cause\*\*') FROM o WHERE o.doc_id = h.doc_id AND o.line_no > h.line_no AND regexp_matches(o.raw, '\S')) AS entry
   FROM h WHERE level > 1)""",
-        "anchor_heading_level": r""", h1 AS (SELECT doc_id, line_no, level, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '`([^`]*)`', '\1', 'g'), '\*\*([^*]*)\*\*', '\1', 'g'), '[^\w\s-]', '', 'g'), '\s', '-', 'g') AS slug FROM h),
-hs AS (SELECT doc_id, level, slug || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line_no) AS k FROM h1))""",
+        "anchor_heading_level": SLUGS,
     }
     return {f"check_{name}": prefix() + more.get(name, "") + sql for name, sql in parts.items()}
 
@@ -198,6 +209,15 @@ def relations() -> dict[str, str]:
         "lines": prefix() + "SELECT doc_id, line_no, md5(raw) AS raw_md5, in_fence, is_body FROM ln",
         "headings": prefix() + "SELECT doc_id, line_no, CAST(level AS INT) AS level, text, CAST(end_line AS INT) AS end_line FROM h",
         "links": prefix() + f"SELECT doc_id, line_no, url FROM {LINKS}",
+        "anchors": prefix() + SLUGS + "SELECT doc_id, line_no, anchor FROM hs",
+        "fences": prefix() + r""", marked AS (
+  SELECT s.doc_id, s.line_no, s.was, s.now, trim(regexp_extract(regexp_replace(r.raw, '^(\s*>)+\s?', ''), '^(\s*)(`{3,}|~{3,})(.*)$', 3)) AS lang, r.total
+  FROM state s JOIN raws r ON r.doc_id = s.doc_id AND r.line_no = s.line_no
+),
+f AS (SELECT doc_id, line_no AS a, lang, coalesce((SELECT min(c.line_no) FROM marked c WHERE c.doc_id = m.doc_id AND c.line_no > m.line_no AND c.now = ''), total) AS b FROM marked m WHERE was = '' AND now <> '')
+SELECT f.doc_id, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, lang,
+  coalesce((SELECT string_agg(raw, chr(10) ORDER BY r.line_no) FROM raws r WHERE r.doc_id = f.doc_id AND r.line_no > a AND r.line_no < b), '') AS body FROM f""",
+        "page_headings": prefix().replace(derived_sql(), pages_sql()) + "SELECT doc_id, line_no, CAST(level AS INT) AS level, text FROM h",
         "list_items": prefix() + f"SELECT doc_id, line_no, CAST(indent AS INT) AS indent, ordered, text FROM {ITEMS}",
     }
 
@@ -218,7 +238,7 @@ LINE_CHECKS = [
 ]
 
 
-def rollups() -> dict[str, str]:
+def rollups(texts: list[tuple[str, str]]) -> dict[str, str]:
     start = prefix()
     bodies = checks()
     every = " UNION ALL ".join(f"({bodies[f'check_{n}'].removeprefix(start)})" for n in LINE_CHECKS)
@@ -231,6 +251,8 @@ def rollups() -> dict[str, str]:
         "corpus_summary": start + classed + """SELECT count(*) AS files, count(*) FILTER (coalesce(e, 0) + coalesce(w, 0) = 0) AS clean, CAST(coalesce(sum(e), 0) AS BIGINT) AS errors,
           CAST(coalesce(sum(w), 0) AS BIGINT) AS warnings, coalesce(sum(e), 0) = 0 AS passed
           FROM derived LEFT JOIN (SELECT doc_id, count(*) FILTER (tier = 1) AS e, count(*) FILTER (tier = 2) AS w FROM kept GROUP BY doc_id) USING (doc_id)""",
+        "first_tier_findings": start + classed + "SELECT doc_id, line_no, rule_id, check_id FROM every WHERE tier = 1",
+        "rule_text_rollup": start + classed + f"SELECT rule_id, coalesce(t, '(not in registry)') AS rule, count(*) AS findings FROM every LEFT JOIN (VALUES {', '.join(f'({q(k)}, {q(t)})' for k, t in texts)}) AS r(k, t) ON k = rule_id GROUP BY ALL",
     }
 
 

@@ -67,7 +67,7 @@ def derived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_STEPS = [
     (r"<h1>", "\n# "),
     (r"</h1>", "\n"),
-    (r'<li><a href="([^"]*)">([^<]*)</a></li>', r"\n- [\2](\1)"),
+    (r'<li><a href="([^"]*)">([^<]*)</a></li>', "\n- [\\2](\\1)"),
     (r"</p>", "\n"),
     (r"<br>", "\n"),
     (r"<[^>]*>", ""),
