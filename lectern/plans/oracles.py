@@ -204,11 +204,34 @@ def checks() -> dict[str, str]:
     return {f"check_{name}": prefix() + more.get(name, "") + sql for name, sql in parts.items()}
 
 
+#: Links as the link layers read them: any fence line toggles, code is blanked.
+STRICT_LINKS = r""", tl AS (SELECT doc_id, unnest(a) AS raw, CAST(unnest(range(1, len(a) + 1)) AS INT) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM derived)),
+tm AS (SELECT *, regexp_matches(regexp_replace(raw, '^(\s*>)+\s?', ''), '^\s*(```|~~~)') AS mark FROM tl),
+ts AS (SELECT doc_id, line_no, regexp_replace(raw, '`[^`\n]*`', ' ', 'g') AS scan FROM (SELECT *, sum(CAST(mark AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM tm) WHERE NOT mark AND n % 2 = 0),
+ta AS (
+  SELECT doc_id, line_no, regexp_extract_all(scan, '(!?)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(([^()\s]*(?:\([^()]*\)[^()\s]*)*)\s*(?:"[^"]*")?\)', 1) AS bang, regexp_extract_all(scan, '(!?)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(([^()\s]*(?:\([^()]*\)[^()\s]*)*)\s*(?:"[^"]*")?\)', 2) AS label, regexp_extract_all(scan, '(!?)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(([^()\s]*(?:\([^()]*\)[^()\s]*)*)\s*(?:"[^"]*")?\)', 3) AS target,
+    regexp_extract_all(scan, '(?i)<a\s[^>]*href\s*=\s*"([^"]*)"', 1) AS href
+  FROM ts
+),
+tu AS (
+  SELECT doc_id, line_no, unnest(range(0, len(label))) AS ord, unnest(label) AS label, unnest(target) AS target, unnest(bang) = '!' AS image, false AS html FROM ta
+  UNION ALL SELECT doc_id, line_no, len(label) + unnest(range(0, len(href))), '', unnest(href), false, true FROM ta
+),
+strict AS (
+  SELECT doc_id, line_no, CAST(ord AS INT) AS ord, label, target, image, html, CASE WHEN regexp_matches(target, '(?i)^https?://') THEN 'external'
+    WHEN regexp_matches(target, '(?i)^(mailto|tel|data|javascript):') THEN 'scheme' WHEN starts_with(target, '//') THEN 'external' WHEN starts_with(target, '#') THEN 'same-page' ELSE 'relative' END AS kind FROM tu
+)"""
+
+
 def relations() -> dict[str, str]:
     return {
         "lines": prefix() + "SELECT doc_id, line_no, md5(raw) AS raw_md5, in_fence, is_body FROM ln",
         "headings": prefix() + "SELECT doc_id, line_no, CAST(level AS INT) AS level, text, CAST(end_line AS INT) AS end_line FROM h",
         "links": prefix() + f"SELECT doc_id, line_no, url FROM {LINKS}",
+        "sentences": prefix() + "SELECT doc_id, line_no, CAST(unnest(range(0, len(a))) AS INT) AS ord, md5(unnest(a)) AS sentence_md5 FROM "
+        + (SENTENCES % q(r'^\s*(?:#{1,6}\s|\||>)')).replace("unnest(list_filter(", "list_filter(", 1).replace("lambda s: s <> '')) AS s", "lambda s: s <> '') AS a"),
+        "strict_links": f"WITH {derived_sql()}{STRICT_LINKS} SELECT doc_id, line_no, ord, label, target, image, html, kind FROM strict",
+        "link_counts": f"WITH {derived_sql()}{STRICT_LINKS} SELECT kind, count(*) AS links, count(*) FILTER (image) AS images, count(*) FILTER (html) AS html_links FROM strict GROUP BY kind",
         "anchors": prefix() + SLUGS + "SELECT doc_id, line_no, anchor FROM hs",
         "fences": prefix() + r""", marked AS (
   SELECT s.doc_id, s.line_no, s.was, s.now, trim(regexp_extract(regexp_replace(r.raw, '^(\s*>)+\s?', ''), '^(\s*)(`{3,}|~{3,})(.*)$', 3)) AS lang, r.total
