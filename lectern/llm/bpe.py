@@ -107,6 +107,8 @@ class BytePairCodec:
                 limit, a = ra, self.parts[a][1]
             else:
                 limit, b = rb + 0.5, self.parts[b][0]
+        if len(self.fits) >= _CACHE:
+            self.fits.clear()
         self.fits[key] = good
         return good
 

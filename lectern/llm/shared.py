@@ -139,6 +139,17 @@ def whole_text(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def give_back_memory() -> None:
+    """Return what a Python worker has freed to the system, as it serves later tasks of other kinds."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---- files that are not tables ------------------------------------------------
 
 

@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
-from lectern.llm.shared import scratch, sized, unused, whole_text, written
+from lectern.llm.shared import give_back_memory, scratch, sized, unused, whole_text, written
 
-_CHUNK = 1 << 18  # rows that a task compares at once
+_CHUNK = 1 << 16  # rows that a task compares at once
 _BLOCK = 1 << 14  # rows of a component that a task compares
 _GIANT = 1 << 20  # rows of a group from which it is dealt out
 _FIRST = 16  # components that a row takes of a bucket in the first round; each round takes 16 times the last
@@ -258,6 +258,7 @@ def _balls(half: int, bits: int, most: int, ratio: float, chunk: int, giant: int
                 held = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in rows], _MEMBER)]
         if held and sum(b.num_rows for b in held):
             yield from _met(_columns(held), half, bits, most, ratio)
+        give_back_memory()
 
     return run
 
@@ -470,6 +471,7 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, width: int, words: in
                 [*batch.columns[:3], pa.array(fids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
                 ["_id", "_sha", "_hash", "fid", "n", "fp"]
             )
+        give_back_memory()
 
     return given.mapInArrow(run, schema)
 
@@ -487,6 +489,7 @@ def _sets(texts: DataFrame, width: int, seed: int = 42) -> DataFrame:
         for batch in batches:
             found = [_shingle_set(t.as_py(), width, seed) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["fid", "shingles"])
+        give_back_memory()
 
     return texts.mapInArrow(run, "fid long, shingles binary")
 
@@ -505,6 +508,7 @@ def _alike(docs: DataFrame, text_col: str, each: DataFrame, width: int, similari
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        give_back_memory()
 
     def exactly(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "near-pairs")
