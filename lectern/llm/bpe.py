@@ -201,7 +201,10 @@ def codec(path: str) -> BytePairCodec:
 
 
 def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with a column ``ids_col`` of token ids; null text encodes as empty."""
+    """``docs`` with a column ``ids_col`` of token ids; null text encodes as empty.
+
+    A column of that name is replaced, all others stay; repeated rows stay repeated.
+    """
     kept = docs.drop(ids_col)
     schema = kept.withColumn(ids_col, F.array().cast("array<int>")).schema
     names = [f.name for f in schema]
@@ -234,7 +237,12 @@ def decode_table(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: s
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, then its ids decoded."""
+    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, then its ids decoded.
+
+    A null text is empty and has no tokens.  Texts of any length are encoded whole;
+    repeated rows give repeated rows, null ids stay null, other columns are not read,
+    an empty table gives an empty result.
+    """
     schema = docs.select(F.col(id_col), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

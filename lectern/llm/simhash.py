@@ -429,7 +429,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     segments of 32 bits, balls of radius one, find every such pair).  Rows
     without words share fingerprint zero.  component_id is the smallest id
     reachable; null ids are ignored for it, so a component of null ids only has a
-    null component_id.
+    null component_id.  Very long texts are shingled whole, in pieces; repeated rows
+    are rows of one component, other columns are not read, an empty table gives an
+    empty result.
     """
     if most > 3:
         raise ValueError("two segments with balls of radius one find distances up to 3")

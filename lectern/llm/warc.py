@@ -128,7 +128,10 @@ def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Payload: the html in UTF-8, null as empty.  Of payloads that are equal and
     have at least ``least_bytes`` bytes, the row with the largest id is the
     response (null ids rank last) and others revisit it; rows that repeat both id
-    and payload count as copies, one of them is the response.
+    and payload count as copies, one of them is the response.  Payloads of any length
+    are archived whole; only the dictionary is built from a bounded sample, the first
+    8 MB of a file's records and 64 KB of each.  Other columns are not read, an empty
+    table gives archives without records.
     """
     plan = planned(pages, id_col, url_col, html_col, least_bytes)
     # Rows repeating id and payload: all but one revisit.  Rare, so found apart.
