@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: quality, exact and near dedup, mixing, encoding."""
+"""A training corpus from raw documents: quality, exact and near dedup, mixing, encoding.
+
+Every stage works on all rows of the one before it, takes very long texts whole and
+repeated rows one by one, keeps columns of any name, and gives an empty result for an
+empty table.
+"""
 
 from __future__ import annotations
 
@@ -38,31 +43,50 @@ def _in_turn(stage: Stage) -> Stage:
 
 @_in_turn
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the adaptive quality rules."""
+    """Documents that pass the adaptive quality rules.
+
+    Null, empty and white texts go, as they have no words; null languages and sources
+    are groups of their own.
+    """
     return quality.keep_good(docs)
 
 
 @_in_turn
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest doc_id."""
+    """One document of each group of equal texts, the one with the largest doc_id.
+
+    A null text counts as empty, a null id as the smallest; of rows that repeat id and
+    text one stays.
+    """
     return exact_dedup.survivors(docs)
 
 
 @_in_turn
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id stays, a null one goes before others; texts without words are
+    one group, rows that share an id are told apart by their text.
+    """
     return simhash.near_dedup(docs, width=5, similarity=0.8)
 
 
 @_in_turn
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by source to their target weights; a document drawn again is repeated."""
+    """Documents drawn by source to their target weights; a document drawn again is repeated.
+
+    Rows lie by shard, in random order within it. A null source is a source, rows of
+    one id are drawn alike, a text without words counts nothing.
+    """
     return mixing.mixture(docs, weights=(5, 2, 1), cap=3).select(*docs.columns)
 
 
 @_in_turn
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the text decoded from them."""
+    """Token counts and digests of ids and of the text decoded from them.
+
+    A null text is empty: no tokens.
+    """
     return bpe.round_trip_digests(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
@@ -74,7 +98,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe_encoding", encode),
 ]
 
-#: Hash draws and fingerprints have no SQL; tests hold the rows against a brute-force version.
+#: Hash draws and fingerprints have no SQL.  Tests hold the stages' operators against
+#: brute-force versions, and what run() keeps against planted rows.
 ORACLE_SQL = None
 
 
