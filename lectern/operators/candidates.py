@@ -273,11 +273,13 @@ def repeated_fact(c: Corpus, floor: float = 0.5, least_words: int = 7) -> Rows:
     said = F.regexp_replace(prose(F.col("said")), spark(MARKER), "")
     each = rows.select("doc_id", "line_no", "section", F.posexplode(split_loose(said)).alias("ord", "sentence")).where(word_count(F.col("sentence")) >= least_words)
     each = each.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "ord"))).withColumn("s", shingles(F.col("sentence"), 5)).where(F.size("s") > 0)
-    keyed = each.select("doc_id", "k", F.explode("s").alias("g"))
-    a, b = keyed.select("doc_id", F.col("k").alias("i"), "g"), keyed.select("doc_id", F.col("k").alias("j"), "g")
-    shared = a.join(b, ["doc_id", "g"]).where("i < j").groupBy("doc_id", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    sizes = lambda k: each.select("doc_id", F.col("k").alias(k), F.size("s").alias(f"n{k}"))
-    close = shared.join(sizes("i"), ["doc_id", "i"]).join(sizes("j"), ["doc_id", "j"]).where(F.col("n") / (F.col("ni") + F.col("nj") - F.col("n")) >= floor)
+    # Sentences of one set of shingles go together, so only the first of them is compared.
+    sets = each.groupBy("doc_id", "s").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
+    keyed = sets.select("doc_id", "k", F.size("s").alias("size"), F.explode("s").alias("g"))
+    a = keyed.select("doc_id", F.col("k").alias("i"), F.col("size").alias("ni"), "g")
+    b = keyed.select("doc_id", F.col("k").alias("j"), F.col("size").alias("nj"), "g")
+    shared = a.join(b, ["doc_id", "g"]).where("i < j").groupBy("doc_id", "i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("n"))
+    close = shared.where(F.col("n") / (F.col("ni") + F.col("nj") - F.col("n")) >= floor)
     lists = close.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("pairs"))
     fold = F.aggregate(
         "pairs", F.struct(F.array().cast("array<int>").alias("gone"), F.array().cast("array<struct<i:int,j:int>>").alias("kept")),
@@ -288,8 +290,9 @@ def repeated_fact(c: Corpus, floor: float = 0.5, least_words: int = 7) -> Rows:
         lambda acc: acc["kept"],
     )
     kept = lists.select("doc_id", F.explode(fold).alias("p")).select("doc_id", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    home = each.select("doc_id", F.col("k").alias("m"), "line_no", "section")
-    members = kept.select("doc_id", "i", F.col("j").alias("m")).union(kept.select("doc_id", "i", F.col("i").alias("m"))).distinct().join(home, ["doc_id", "m"])
+    seeds = kept.select("doc_id", "i", F.col("j").alias("k")).union(kept.select("doc_id", "i", F.col("i").alias("k"))).distinct()
+    taken = sets.join(seeds, ["doc_id", "k"], "left").where("i is not null or copies > 1").select("doc_id", "s", F.coalesce("i", "k").alias("i"))
+    members = each.join(taken, ["doc_id", "s"]).select("doc_id", "i", F.col("k").alias("m"), "line_no", "section")
     groups = members.groupBy("doc_id", "i").agg(F.min("line_no").alias("line_no"), F.min_by("section", "m").alias("section"), F.max((F.lower("section") == "prerequisites").cast("int")).alias("pre"))
     return candidate(groups, "repeated_fact", (F.lit("C7-06"), F.when(F.col("pre") == 1, "C7-02").otherwise("")))
 
@@ -315,6 +318,7 @@ def circled_concept(c: Corpus) -> Rows:
     return candidate(rows.where(hit), "circled_concept", ["C3-23"])
 
 
+#: Words that point elsewhere on a page.
 DIRECTION = r"\b(below|above|following|preceding|earlier|later|next|previous|shown|listed|here)\b"
 
 
@@ -334,6 +338,7 @@ def unanchored_block(c: Corpus) -> Rows:
     return candidate(under(c, both, strictly=False), "unanchored_block", ["C3-25"])
 
 
+#: What a lead-in can name.
 ELEMENT = (
     r"\b(tables?|lists?|columns?|rows?|steps?|urls?|links?|commands?|examples?|snippets?|blocks?|code|outputs?|messages?|errors?|formats?|payloads?|parameters?|arguments?|"
     r"fields?|options?|sections?|diagrams?|entries|entry|responses?|requests?|files?|settings?|screens?|tabs?|dialog|text|order|sequence|paragraphs?|cases?|rules?)\b"

@@ -102,6 +102,7 @@ def no_italics(c: Corpus) -> DataFrame:
     return finding(own.union(wide), "no-italics", 1, "C3-28")
 
 
+#: Labels of callouts.
 CALLOUTS = ["warning", "note", "tip", "additional resource", "additional resources", "before you begin"]
 
 
@@ -140,6 +141,7 @@ def internal_link_form(c: Corpus, docs_site: str = r"https?://(?:www\.)?example\
     return finding(c.lines.where(F.col("raw").rlike(docs_site)), "internal-link-form", 1, "CLI-17")
 
 
+#: Wording that asks for a click.
 CUE = (
     r"\b(tabs?|buttons?|menus?|menu items?|screens?|panels?|fields?|sections?|badges?|icons?|actions?|columns?|dialogs?|modals?|toggles?|checkboxes?|dropdowns?|"
     r"statuses|status|wizard|clicks?|selects?|hovers?|opens?|choose|chooses)\b"

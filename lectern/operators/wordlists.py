@@ -78,13 +78,17 @@ def over_promise(c: Corpus) -> DataFrame:
 
 #: Wording that exempts a verb from being read as human.
 PROTOCOL = r"\b(OAuth|PKCE|handshake|token endpoint|scopes?|authoriz(e|es|ed|ation) (code|server|endpoint)|refresh token|Dynamic Client Registration)\b"
+#: What may stand before a line's first word.
 OPENER = r"^(?:[>\s]*)(?:#{1,6}\s+|\d+[.)]\s+|[-*+]\s+)?(?:\*\*[^*]+\*\*:?\s*)?(?:[*_]{1,2})?"
+#: Subjects that are people.
 PEOPLE = (
     r"\b(?:you|your|yours|we|our|us|they|their|them|i|me|my|users?|readers?|authors?|editors?|marketers?|marketing|engineers?|engineering|developers?|designers?|"
     r"teams?|attendees?|sales|customers?|clients?|people|someone|somebody|anyone|anybody|everyone|reviewers?|maintainers?|admins?|administrators?|operators?|"
     r"consultants?|stakeholders?|colleagues?|partners?|managers?|owners?)\b"
 )
+#: Where a clause ends.
 CLAUSE_END = r"[.!?;:,()\[\]|]|\b(?:and|or|but|so|then|because|while|whereas|although|though|unless|until)\b"
+#: Auxiliaries, which are no subject.
 NO_SUBJECT = (
     r"^(?:\s|\b(?:to|also|often|still|already|now|then|just|only|really|simply|always|never|sometimes|usually|likely|probably|may|might|can|could|will|would|shall|"
     r"should|must|do|does|did|not|no|never|even|rather|instead|therefore|thus|and|or|but|then|so)\b|[*_`\"'(),-])*$"
