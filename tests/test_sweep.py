@@ -6,6 +6,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from lectern.functions.patterns import needles, spark as java
 from lectern.functions.relations import Corpus
@@ -47,3 +48,14 @@ def test_needles_are_held_by_every_match():
     assert needles(r"\bComing Soon\b") == ["coming soon"] and needles(r"\w+") is None and needles(r"(?:x|yy)") is None
     assert sorted(needles(r"\b(?:is|are)\s+(?:sent|read)s?\b")) == ["read", "sent"]
     assert java(r"\bab\b").count("(?") == 2 and java(r"\b(a|b)\b").count("(?<=") == 2
+
+
+def test_documents_of_one_partition_are_dealt_to_all_cores(spark):
+    rows = [(k, f"docs/{k}.md", f"# Page {k}\n\nThe team is running it.\n") for k in range(400)]
+    one = Corpus(spark.createDataFrame(rows, "doc_id long, path string, text string").coalesce(1))
+    parsed = sweep.stored(one).parsed
+    parts = parsed.select("doc_id", F.input_file_name().alias("f")).collect()
+    assert sorted(r.doc_id for r in parts) == list(range(400))
+    assert len({r.f for r in parts}) >= 2 * spark.sparkContext.defaultParallelism
+    found = sweep.sweep(one, checks={n: CHECKS[n] for n in ("em_dash_semicolon", "present_continuous")})
+    assert sorted(r.doc_id for r in found.collect()) == list(range(400))
