@@ -42,7 +42,7 @@ _FEW = 8  # members of a component that are compared by a join
 _NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 45 segments of 24 bits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = "u long, v long, kind int"
-_PAIR, _MORE, _LARGE = 0, 1, 2
+_PAIR, _MORE, _LARGE, _CROWDED = 0, 1, 2, 3
 
 
 def _shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
@@ -136,8 +136,8 @@ def _ranks(comp: np.ndarray, size: np.ndarray) -> np.ndarray:
     return place[own]
 
 
-def _probed(left: tuple, right: tuple, flips: list[int | None], most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, keys with more): rows of ``left`` and the larger components that they meet in ``right``.
+def _probed(left: tuple, right: tuple, flips: list[int | None], most: int, ratio: float) -> tuple[np.ndarray, ...]:
+    """(u, v, keys with more, keys of the rows u, whether v is one row): rows of ``left`` and the larger components that they meet in ``right``.
 
     ``left`` has key, comp, fid, n, size of rows, ``right`` has key, comp, smallest n,
     largest n, size of the components in a bucket.  Of each bucket a row takes up to
@@ -148,11 +148,11 @@ def _probed(left: tuple, right: tuple, flips: list[int | None], most: int, ratio
     ranks = _ranks(np.concatenate([comp, right[1]]), np.concatenate([size, right[4]]))
     own, theirs = ranks[: len(key)], ranks[len(key) :]
     order = np.lexsort((theirs, right[0]))
-    there, names, low_n, high_n, theirs = right[0][order], right[1][order], right[2][order], right[3][order], theirs[order]
+    there, names, low_n, high_n, theirs, alone = right[0][order], right[1][order], right[2][order], right[3][order], theirs[order], right[4][order] == 1
     width = len(ranks) + 1
     place = np.searchsorted(there, there, "left") * width + theirs
     spin = (fid.view(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64)
-    us, vs, more = [], [], []
+    us, vs, more, keys, ones = [], [], [], [], []
     for bit in flips:
         asked = key if bit is None else key ^ (1 << bit)
         low = np.searchsorted(there, asked, "left")
@@ -172,7 +172,9 @@ def _probed(left: tuple, right: tuple, flips: list[int | None], most: int, ratio
         fits = (high_n[found] >= ratio * n[a] - 1e-9) & (n[a] >= ratio * low_n[found] - 1e-9)
         us.append(fid[a[fits]])
         vs.append(names[found[fits]])
-    return np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(more))
+        keys.append(key[a[fits]])
+        ones.append(alone[found[fits]])
+    return np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(more)), np.concatenate(keys), np.concatenate(ones)
 
 
 def _in_buckets(key: np.ndarray, comp: np.ndarray, n: np.ndarray, size: np.ndarray) -> tuple:
@@ -219,15 +221,24 @@ _MEMBER = ["key", "comp", "fid", "n", "size"]
 
 
 def _met(rows: list[np.ndarray], half: int, bits: int, most: int, ratio: float) -> Iterator[pa.RecordBatch]:
-    """Pairs and groups with more of whole groups of rows (key, comp, fid, n, size)."""
+    """Pairs and groups with more of whole groups of rows (key, comp, fid, n, size).
+
+    In a crowd, where single rows meet more of each other than there are of them,
+    those pairs are left out and the group is named (see ``_crowded``).
+    """
     key, comp, fid, n, size = rows
     # Equal segments meet in either half; they are probed in the first one.
     even = (key >> bits) & 1 == 0
     for mine, flips in ((np.ones(len(key), bool), list(range(half))), (even, [None])):
         if mine.any():
             left = tuple(x[mine] for x in (key, comp, fid, n, size))
-            u, v, more = _probed(left, _in_buckets(left[0], left[1], left[3], left[4]), flips, most, ratio)
-            yield _batch(u, v, _PAIR)
+            u, v, more, at, one = _probed(left, _in_buckets(left[0], left[1], left[3], left[4]), flips, most, ratio)
+            groups, times = np.unique(at[one] >> half, return_counts=True)
+            singles = np.sort(left[0][left[4] == 1] >> half)
+            crowds = groups[times > np.searchsorted(singles, groups, "right") - np.searchsorted(singles, groups, "left")]
+            out = ~(one & np.isin(at >> half, crowds))
+            yield _batch(u[out], v[out], _PAIR)
+            yield _batch(crowds, None, _CROWDED)
             yield _batch(more >> half, None, _MORE)
 
 
@@ -287,12 +298,42 @@ def _dealt(members: DataFrame, large: DataFrame, half: int, bits: int, most: int
         key, comp, fid, n, size = (table.column(c).to_numpy() for c in _MEMBER)
         mine, theirs = tuple(x[side] for x in (key, comp, fid, n, size)), tuple(x[~side] for x in (key, comp, n, fid, size))
         flips: list[int | None] = [*range(half), *([None] if not int(key[0]) >> bits & 1 else [])]
-        u, v, more = _probed(mine, theirs, flips, most, ratio)
+        u, v, more, _, _ = _probed(mine, theirs, flips, most, ratio)
         return pa.Table.from_batches([_batch(u, v, _PAIR), _batch(more >> half, None, _MORE)])
 
     return left.select(*shown).union(right.select(*shown)).groupBy("g", "p", "q").applyInArrow(compare, _PAIRS)
 
 
+def _crowded(homes: DataFrame, crowds: DataFrame, segments: list[tuple[int, int]], most: int, limit: int, ratio: float) -> DataFrame:
+    """The pairs of single rows in the groups of ``crowds(u)`` that are within the complete distance ``most``.
+
+    Rows bring their fingerprints along, which would be too much for all groups; so
+    strangers that only meet in many segments are told apart where they meet, and
+    cost no row each.
+    """
+    bits = segments[0][1]
+    half = bits // 2
+    rows = homes.where(F.col("size") == 1).select(F.explode(_keys(F.col("fp"), segments, 2)).alias("key"), "fid", "n", "fp").withColumn("g", F.shiftright("key", half))
+    rows = rows.join(sized(crowds), F.col("g") == F.col("u"), "left_semi")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, fid, n = (table.column(c).to_numpy() for c in ("key", "fid", "n"))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fid), -1)
+        size = np.ones(len(fid), np.int64)
+        flips: list[int | None] = [*range(half), *([None] if not int(key[0]) >> bits & 1 else [])]
+        u, v, *_ = _probed((key, fid, fid, n, size), _in_buckets(key, fid, n, size), flips, limit, ratio)
+        order = np.argsort(fid)
+        a, b = (order[np.searchsorted(fid, x, sorter=order)] for x in (u, v))
+        near = [np.zeros(0, bool)]
+        for at in range(0, len(a), _CHUNK):
+            near.append(np.bitwise_count(fp[a[at : at + _CHUNK]] ^ fp[b[at : at + _CHUNK]]).sum(axis=1, dtype=np.int64) <= most)
+        near = np.concatenate(near)
+        return pa.Table.from_batches([_batch(u[near], v[near], _PAIR)])
+
+    return rows.select("g", "key", "fid", "n", "fp").groupBy("g").applyInArrow(compare, _PAIRS)
+
+
 def _nearest(asked: DataFrame, homes: DataFrame, most: int, take: int, block: int) -> DataFrame:
     """(u, v, d, kind): the ``take`` nearest members, within ``most``, of the component v of ``asked(u, v, fu)``; of kind _MORE those (u, v) with more.
 
@@ -390,6 +431,10 @@ def linked(
             large = told.where(F.col("kind") == _LARGE).select("u").distinct()
             if not large.isEmpty():
                 told = told.union(written(_dealt(members, large, half, bits, limit, ratio, giant), "simhash-dealt"))
+            crowds = told.where(F.col("kind") == _CROWDED).select("u").distinct()
+            if not crowds.isEmpty():
+                crowds = written(crowds, "simhash-crowds")
+                told = told.union(written(_crowded(homes, crowds, segments, most, limit, ratio), "simhash-strangers"))
             meets = told.where(F.col("kind") == _PAIR).select("u", "v").distinct()
             mine = homes.select(F.col("fid").alias("u"), F.col("fp").alias("fu"))
             meets = written(meets.join(mine, "u").select("u", "v", "fu"), "simhash-meets")

@@ -180,6 +180,32 @@ def test_linking_a_crowded_family_is_exact(spark, options):
     assert {k: got[k] for k in want} == want and set(got) == set(want)
 
 
+def test_strangers_of_a_crowd_cost_no_row_each():
+    key = np.zeros(500, np.int64)  # one bucket: strangers that agree in this segment only
+    fid, ones = np.arange(500), np.ones(500, np.int64)
+    out = [b.to_pydict() for b in simhash._met([key, fid, fid, ones, ones], 16, 32, 16, 0.0)]
+    kinds = collections.Counter(k for b in out for k in b["kind"])
+    assert kinds[simhash._PAIR] == 0 and kinds[simhash._CROWDED] == 1
+
+
+@pytest.mark.parametrize("limit", [1, 16])
+def test_linking_among_strangers_of_a_crowd_is_exact(spark, limit):
+    rng = random.Random(5)
+    half = rng.getrandbits(32)
+    highs = [rng.getrandbits(32) for _ in range(150)]
+    highs += [h ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32) for h in highs[:40]]  # links in a crowd about one low half
+    fps = sorted({h << 32 | half ^ (1 << rng.randrange(32) if k % 3 == 0 else 0) for k, h in enumerate(highs)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    prints = spark.createDataFrame([(f, [f]) for f in fps], "fid long, fp array<bigint>")
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 2]
+    root = slow_components(near, len(fps))
+    assert near
+    want = {i for p in near for i in p}
+    roots = {r.node: r.root for r in simhash.linked(prints, [(0, 32), (32, 32)], 1, 2, limit=limit).collect()}
+    assert set(roots) == {fps[i] for i in want}
+    assert all((roots[fps[i]] == roots[fps[j]]) == (root[i] == root[j]) for i in want for j in want)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, docs):
     left = sorted((r.doc_id for r in simhash.near_dedup(docs.where("doc_id is not null")).collect()))
     assert not {100, 101, 102, 103, 200, 201, 202, 203} & set(left) and 3 in left and 5 in left
