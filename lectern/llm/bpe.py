@@ -73,7 +73,7 @@ class BytePairCodec:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.shorter: dict[int, int | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # pretokens
 
     def _next_prefix(self, token: int) -> int | None:
         """The longest token that is a proper prefix of ``token``."""
@@ -148,9 +148,33 @@ class BytePairCodec:
         """Ids of a stretch that the pattern never joins with its neighbours."""
         made: list[int] = []
         for word in self.pattern.findall(text):
-            made += self._pretoken(word.encode("utf-8"))
+            made += self._kept(word)
         return tuple(made)
 
+    def _kept(self, word: str) -> tuple[int, ...]:
+        """Ids of one pretoken, looked up if it was met before; white space alone is not kept."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._pretoken(word.encode("utf-8"))
+            if len(word) <= 64 and not word[-1].isspace():
+                if len(self.known) >= _CACHE:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
+
+    def _word(self, piece: str, word: str) -> tuple[int, ...]:
+        """Ids of ``piece``, which is ``word`` with or without a space before it.
+
+        Letters are one pretoken and a mark after them is another: no pattern is
+        needed for them, and a word is kept once for all marks that follow it.
+        """
+        if word.isascii():
+            if word.isalpha():
+                return self._kept(piece)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self._kept(piece[:-1]) + self._kept(word[-1])
+        return self._piece(piece)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the vocabulary's special strings give their own ids."""
         if self.cut is not None and self.cut.search(text):
@@ -168,12 +192,8 @@ class BytePairCodec:
             ids = known.get(piece)
             if ids is None:
                 if not word or word[0].isspace() or word[-1].isspace():
-                    return list(self._piece(text)) if len(text) < 1 << 20 else [i for w in self.pattern.findall(text) for i in self._pretoken(w.encode())]
-                if len(known) >= _CACHE:
-                    known.clear()
-                ids = self._piece(piece)
-                if len(piece) <= 64:
-                    known[piece] = ids
+                    return list(self._piece(text)) if len(text) < 1 << 20 else [i for w in self.pattern.findall(text) for i in self._kept(w)]
+                ids = self._word(piece, word)
             out += ids
         return out
 

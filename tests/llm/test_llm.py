@@ -149,6 +149,17 @@ def slow_components(pairs, n):
     return [find(i) for i in range(n)]
 
 
+def test_bpe_keeps_a_word_once_for_all_marks_after_it():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    codec, library = bpe.BytePairCodec(path), Tokenizer.from_file(path)
+    texts = [f"Oftionnten{a} oftionnten{a} x{b}oftionnten" for a in ("", ".", ",", "!?", "'s", "\u00e9", "\n", "9", "...") for b in (" ", ", ", "\n", " \n", "\n ", "  ", "\u00a0", " '")]
+    for text in [*texts, *texts]:  # from the table the second time
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert not any(len(codec.pattern.findall(piece)) != 1 for piece in codec.known)
+
+
 def test_simhash_components_equal_brute_force(spark, docs):
     rows = [r for r in corpus() if r[0] is not None]
     fps = [slow_fingerprint(r[1]) for r in rows]
