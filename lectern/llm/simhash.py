@@ -389,15 +389,14 @@ def linked(
     if "n" not in prints.columns:
         prints = prints.withColumn("n", F.lit(0).cast("long"))
     with scratch(spark) as keep:
-        edges = roots = None
+        roots = None
 
         def joined(pairs: DataFrame) -> None:
-            """Take the links among ``pairs(u, v)``, which are near, into ``edges`` and ``roots``."""
-            nonlocal edges, roots
+            """Take the links among ``pairs(u, v)``, which are near, into ``roots``."""
+            nonlocal roots
             true = written(exactly(pairs) if exactly else pairs, "simhash-links")
             if roots is None or not true.isEmpty():
-                edges = true if edges is None else edges.union(true)
-                roots = connected_components(edges)
+                roots = connected_components(true, roots)
 
         def apart(pairs: DataFrame) -> DataFrame:
             """The (u, v) that are of different components by now."""

@@ -298,6 +298,57 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[61] == 60 and 50 not in got
 
 
+def joined_rows(spark, run) -> int:
+    """The rows that joins put out while ``run()`` runs, by Spark's own counts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for at in range(before, store.executionsCount()):
+        ran = store.executionsList(at, 1).head()
+        values, nodes = store.executionMetrics(ran.executionId()), store.planGraph(ran.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics() if "Join" in node.name() else None
+            for metric in (metrics.apply(k) for k in range(metrics.size() if metrics else 0)):
+                found = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and found.isDefined():
+                    total += int(found.get().replace(",", ""))
+    return total
+
+
+def test_components_look_each_link_up_once_an_end(spark):
+    links = [(i, j) for i in range(80) for j in range(i)] + [(i, i + 1) for i in range(79, 120)]  # a family and a chain
+    edges = spark.createDataFrame(links, "u long, v long").coalesce(1).localCheckpoint()
+    got = {}
+    made = joined_rows(spark, lambda: got.update({r.node: r.root for r in components.connected_components(edges).collect()}))
+    assert got == dict.fromkeys(range(121), 0)
+    assert 2 * len(links) <= made < 3 * len(links)
+
+
+def test_components_of_new_links_go_on_from_known_ones(spark):
+    rng = random.Random(12)
+    for _ in range(3):
+        links = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]
+        frames = [spark.createDataFrame(part, "u long, v long") for part in (links[:30], links[30:50], links[50:])]
+        root = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+        for _ in links:
+            for u, v in links:
+                if u != v:
+                    root[u] = root[v] = min(root[u], root[v])
+        known = None
+        for frame in frames:
+            known = components.connected_components(frame, known)
+        assert sorted(map(tuple, known.select("node", "root").collect())) == sorted(root.items())
+    family = spark.createDataFrame([(i, j) for i in range(80) for j in range(i)], "u long, v long").coalesce(1)
+    known = components.connected_components(family)
+    more = spark.createDataFrame([(90, 5), (90, 91)], "u long, v long").coalesce(1)
+    got = {}
+    made = joined_rows(spark, lambda: got.update({r.node: r.root for r in components.connected_components(more, known).collect()}))
+    assert got == dict.fromkeys([*range(80), 90, 91], 0)
+    assert made < 150  # nodes and new links, not the 3160 old ones
+
+
 # ---- 5: token files ----------------------------------------------------------------------
 
 
