@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ _GIANT = 1 << 20  # rows of a group from which it is dealt out
 _FIRST = 16  # components that a row takes of a bucket in the first round; each round takes 16 times the last
 _NEAREST = 64  # members of a component that a row is compared with exactly at first; then 16 times as many
 _FEW = 8  # members of a component that are compared by a join
+_ROOM = 16 << 20  # bytes of sets that a task holds of a component, and of the rows compared with it
 _NEAR_WORDS = 17  # near_dedup's fingerprint: 1088 bits, room for 45 segments of 24 bits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = "u long, v long, kind int"
@@ -367,16 +369,63 @@ def _nearest(asked: DataFrame, homes: DataFrame, most: int, take: int, block: in
     return left.unionByName(right).groupBy("v", "p", "q").applyInArrow(compare, "u long, v long, d int, kind int")
 
 
+class Exact(NamedTuple):
+    """An exact test behind the fingerprints: of pairs (u, v), and of sets that a task holds."""
+
+    pairs: Callable[[DataFrame], DataFrame]  #: keeps the true ones of (u, v)
+    sets: Callable[[DataFrame], DataFrame]  #: (fid, s) of those of a column f
+    reach: Callable[[pa.Scalar, pa.Scalar], bool]  #: whether two sets s link
+
+
+def _joining(asked: DataFrame, homes: DataFrame, most: int, exactly: Exact, room: int, block: int) -> DataFrame:
+    """Links (u, v) of the rows u to members of the components v of ``asked(u, v, fu)``: the first found in each block, nearest first.
+
+    One link joins a row to the component, so the members are told apart where they
+    lie and a row costs no row for each member that it is near to but does not link
+    with.  Blocks of members by blocks of rows; both bring their sets along.
+    """
+    with_sizes = asked.join(homes.select(F.col("fid").alias("u"), F.col("n").alias("nu")), "u")
+    blocks = lambda n: F.greatest(_blocks(F.count(F.lit(1)), block), _blocks(F.sum(8 * F.col(n) + 200), room))
+    members = homes.join(sized(written(asked.select("v").distinct(), "simhash-asked")), F.col("comp") == F.col("v"))
+    counts = with_sizes.groupBy("v").agg(blocks("nu").alias("lefts")).join(members.groupBy("v").agg(blocks("n").alias("rights")), "v")
+    counts = sized(written(counts.withColumnRenamed("v", "_v"), "simhash-counts"))
+    named = asked.select(F.col("u").alias("f")).union(members.select(F.col("fid").alias("f"))).distinct()
+    sets = exactly.sets(written(named, "simhash-named")).select(F.col("fid").alias("_fid"), "s")
+    left = asked.join(counts, F.col("v") == F.col("_v")).join(sets, F.col("u") == F.col("_fid"))
+    left = left.select("v", F.col("u").alias("fid"), F.col("fu").alias("fp"), "s", F.pmod(F.xxhash64("u"), "lefts").alias("p"), _spread("rights").alias("q"), F.lit(True).alias("side"))
+    right = members.join(counts, F.col("v") == F.col("_v")).join(sets, F.col("fid") == F.col("_fid"))
+    right = right.select("v", "fid", "fp", "s", _spread("lefts").alias("p"), F.pmod(F.xxhash64("fid"), "rights").alias("q"), F.lit(False).alias("side"))
+
+    reach = exactly.reach
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, fid = (table.column(c).to_numpy() for c in ("side", "fid"))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fid), -1)
+        sets, inside = table.column("s"), np.flatnonzero(~side)
+        prints, us, vs = fp[inside], [], []
+        for row in np.flatnonzero(side):
+            far = np.bitwise_count(prints ^ fp[row]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(far <= most)
+            for k in near[np.argsort(far[near], kind="stable")]:
+                if reach(sets[row], sets[inside[k]]):
+                    us.append(fid[row])
+                    vs.append(fid[inside[k]])
+                    break
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return left.unionByName(right).groupBy("v", "p", "q").applyInArrow(compare, "u long, v long")
+
+
 def linked(
-    prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, exactly: Callable[[DataFrame], DataFrame] | None = None,
-    ratio: float = 0.0, chunk: int = _CHUNK, giant: int = _GIANT, block: int = _BLOCK, limit: int = _FIRST, take: int = _NEAREST,
+    prints: DataFrame, segments: list[tuple[int, int]], words: int, most: int, exactly: Exact | None = None,
+    ratio: float = 0.0, chunk: int = _CHUNK, giant: int = _GIANT, block: int = _BLOCK, limit: int = _FIRST, take: int = _NEAREST, room: int = _ROOM,
 ) -> DataFrame:
     """(node, root) over the distinct fingerprints of ``prints(fid, fp)`` that link to another.
 
     ``segments`` lists (first bit, bits), all of one even width of 48 bits at most.
     Fingerprints link when some segment differs in at most one bit and the whole in
-    at most ``most``; with ``exactly``, which keeps the true ones of pairs (u, v),
-    only those that it keeps.  ``ratio`` says that sets whose sizes, in a column
+    at most ``most``; with ``exactly`` only those that its test holds for.  ``ratio`` says that sets whose sizes, in a column
     ``n`` of ``prints``, are further apart cannot link.
 
     Pairs of one component are not looked at again, and none of another is left
@@ -391,10 +440,11 @@ def linked(
     with scratch(spark) as keep:
         roots = None
 
-        def joined(pairs: DataFrame) -> None:
-            """Take the links among ``pairs(u, v)``, which are near, into ``roots``."""
+        def joined(pairs: DataFrame, links: DataFrame | None = None) -> None:
+            """Take the links among ``pairs(u, v)``, which are near, and ``links(u, v)`` into ``roots``."""
             nonlocal roots
-            true = written(exactly(pairs) if exactly else pairs, "simhash-links")
+            true = exactly.pairs(pairs) if exactly else pairs
+            true = written(true if links is None else true.union(links), "simhash-links")
             if roots is None or not true.isEmpty():
                 roots = connected_components(true, roots)
 
@@ -443,6 +493,8 @@ def linked(
             crowd, some = written(meets.join(sized(written(many, "simhash-many")), "v", "left_semi"), "simhash-crowd"), take
             if crowd.isEmpty():
                 joined(near.select("u", "v"))
+            elif exactly:
+                joined(near.select("u", "v"), _joining(crowd, homes, most, exactly, room, block))
             else:
                 while not crowd.isEmpty():
                     tried = written(_nearest(crowd, homes, most, some, block), "simhash-nearest")
@@ -540,36 +592,41 @@ def _sets(texts: DataFrame, width: int, seed: int = 42) -> DataFrame:
     return texts.mapInArrow(run, "fid long, shingles binary")
 
 
-def _alike(docs: DataFrame, text_col: str, each: DataFrame, width: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (u, v) of ``each(fid, _hash)`` with a Jaccard similarity of ``similarity`` or more.
+def _alike(docs: DataFrame, text_col: str, each: DataFrame, width: int, similarity: float) -> Exact:
+    """Tests the names of ``each(fid, _hash)`` for a Jaccard similarity of ``similarity`` or more.
 
     Sets are made again from the texts that pairs ask for, as few are.
     """
 
+    def reach(a: pa.Scalar, b: pa.Scalar) -> bool:
+        a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            keep = [reach(a, b) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
         give_back_memory()
 
-    def exactly(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty():
-            return pairs
-        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "near-asked")
+    def sets(asked: DataFrame) -> DataFrame:
         texts = each.join(sized(asked), each.fid == asked.f, "left_semi").groupBy("fid").agg(F.min("_hash").alias("h")).select("h").distinct()
         given = docs.select(F.col(text_col).alias("_t"), F.xxhash64(whole_text(text_col)).alias("_hash"))
         given = given.join(sized(written(texts, "near-texts")), F.col("_hash") == F.col("h"), "left_semi").select("_t")
-        held = written(_sets(given, width).groupBy("fid").agg(F.first("shingles").alias("s")), "near-sets")
+        return written(_sets(given, width).groupBy("fid").agg(F.first("shingles").alias("s")), "near-sets")
+
+    def pairs(asked: DataFrame) -> DataFrame:
+        asked = written(asked, "near-pairs")
+        if asked.isEmpty():
+            return asked
+        held = sets(written(asked.select(F.explode(F.array("u", "v")).alias("f")).distinct(), "near-asked"))
         for c in ("u", "v"):
-            pairs = pairs.join(held.select(F.col("fid").alias(c), F.col("s").alias(f"s{c}")), c)
-        return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+            asked = asked.join(held.select(F.col("fid").alias(c), F.col("s").alias(f"s{c}")), c)
+        return asked.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
-    return exactly
+    return Exact(pairs, sets, reach)
 
 
 def _index(rows: int, p: float, recall: float) -> tuple[int, int]:

@@ -259,6 +259,30 @@ def test_near_dedup_links_by_exact_similarity(spark):
     assert len(missed) <= MISSED * sum(x >= 0.8 for x in alike.values()), missed
 
 
+@pytest.mark.parametrize("options", [{}, {"room": 20_000, "block": 16}])
+def test_near_dedup_compares_no_stranger_with_each_member_by_rows(monkeypatch, spark, options):
+    rng = random.Random(31)
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+
+    def changed(n):
+        words = list(base)
+        for at in rng.sample(range(0, 300, 5), n):
+            words[at] = f"x{rng.randint(0, 10**9)}"
+        return " ".join(words)
+
+    # A family, rows near to all of it that link with none or few, and rows in reach of some
+    texts = [changed(2) for _ in range(60)] + [changed(rng.choice((5, 6, 7))) for _ in range(60)]
+    compared, write, link = [], simhash.written, simhash.linked
+    monkeypatch.setattr(simhash, "written", lambda df, name: (out := write(df, name), compared.append(out.count()) if name == "near-pairs" else None)[0])
+    monkeypatch.setattr(simhash, "linked", lambda *a, **k: link(*a, **k, **options))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    left = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    root = slow_components([(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], 120)
+    assert left == {i for i in range(120) if root[i] == i} and 20 < len(left) < 60
+    assert sum(compared) < 12 * len(texts)
+
+
 @pytest.mark.parametrize("rows", [2, 10_000, 200_000, 3_000_000])
 def test_near_dedup_searches_with_its_recall(monkeypatch, spark, docs, rows):
     seen = []
