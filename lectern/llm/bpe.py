@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import give_back_memory
+
 _CACHE = 300_000
 
 
@@ -266,6 +268,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     schema = docs.select(F.col(id_col), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()  # of earlier tasks
         bpe = codec(path)
         sha = hashlib.sha256
         decimal = [str(i) for i in range(len(bpe.offset) - 1)]

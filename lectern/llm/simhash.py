@@ -412,6 +412,10 @@ def _joining(asked: DataFrame, homes: DataFrame, most: int, exactly: Exact, room
                     us.append(fid[row])
                     vs.append(fid[inside[k]])
                     break
+        large = table.nbytes > 1 << 20
+        del table, side, fid, fp, sets, prints
+        if large:
+            give_back_memory()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return left.unionByName(right).groupBy("v", "p", "q").applyInArrow(compare, "u long, v long")
