@@ -13,6 +13,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -419,6 +420,51 @@ def test_token_files_equal_the_library(spark, docs):
         assert [x.tolist() for x in cuts] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in part]
 
 
+def test_word_encoder_asks_once_for_words_alike():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_files.WordEncoder(path)
+
+    class Counting:
+        asked = 0
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += sum(map(len, texts))
+            return library.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            self.asked += len(text)
+            return library.encode(text, **options)
+
+    own.library = Counting()
+    stems = [a + "é" + b + c for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    signs = ["", ".", ",", "!!", ".,", "$$$", "'", "''", "&&&", ".###", "|>", "-"]
+    texts = [" ".join(w + s for w in stems) for s in signs] + [" ".join(w.upper() + s for w in stems) for s in signs]
+    texts += [" ".join(w.title() + s for w in stems) for s in signs]
+    odd = ["été<|", "x<|endoftext|>", "|>été", "été's", "ÉTÉ'S.", "été\u0301.", "×", "÷é", "ªé", "ÿß.", "ŸẞİI.", "中文字", "ДА,", "ΣΑΣ", "ǅ", "K", "ﬁ", "각", "각", "<|startoftext|>.", "é" * 3000, "é" * 3000 + ",", "²", "é²."]
+    texts += [" ".join(odd), " \t ".join(odd[::-1]) + " ", "", " \n", "</w> a</w>"]
+    ids, lengths = own.encode_all([t.encode() for t in texts])
+    cuts = np.split(ids, np.cumsum(lengths)[:-1])
+    assert [x.tolist() for x in cuts] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert own.library.asked < 3000 * 3 + 2 * sum(map(len, stems))  # 36 times all stems before
+
+
+def test_rows_come_to_the_encoder_by_size():
+    rng = random.Random(3)
+    texts = [None, "", "a" * 5000, *("b" * rng.randint(0, 300) for _ in range(400)), "c" * 5000, "d" * 5000, None]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["_id", "_text"])
+    batches = [whole.slice(0, 1), whole.slice(1, 0), whole.slice(1, 150), whole.slice(151, 3), whole.slice(154)]
+    tables = list(token_files._by_size(iter(batches), 2000))
+    assert [r["_text"] for t in tables for r in t.to_pylist()] == texts
+    sizes = [sum(len(r["_text"] or "") + 16 for r in t.to_pylist()) for t in tables]
+    assert all(n <= 2000 or t.num_rows == 1 for n, t in zip(sizes, tables, strict=True))
+    assert all(a + b > 2000 for a, b in zip(sizes, sizes[1:]))
+
+
 # ---- 6: mixing ---------------------------------------------------------------------------
 
 
