@@ -313,7 +313,7 @@ class WordEncoder:
         stops = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
         words = split.flatten().dictionary_encode()
         del split
-        ids, size = self._words(words.dictionary)
+        ids, size = self._words(words.dictionary.cast(pa.string()))
         flat, size = np.append(ids, np.uint32(self.end_id)), np.append(size, 1)
         numbers = np.insert(words.indices.to_numpy(), stops, len(size) - 1)
         del words

@@ -451,6 +451,8 @@ def test_word_encoder_asks_once_for_words_alike():
     cuts = np.split(ids, np.cumsum(lengths)[:-1])
     assert [x.tolist() for x in cuts] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert own.library.asked < 3000 * 3 + 2 * sum(map(len, stems))  # 36 times all stems before
+    large, _ = own.encode_all(pa.array(texts, pa.large_string()))  # as Spark gives texts with useLargeVarTypes
+    assert np.array_equal(large, ids)
 
 
 def test_rows_come_to_the_encoder_by_size():
