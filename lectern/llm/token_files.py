@@ -136,10 +136,11 @@ class TokenFileWriter:
     def add(self, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
         """Append documents whose ids lie one after another in ``ids``."""
         self.docs += zip(doc_ids, lengths, strict=True)
-        ids = np.concatenate([self.left, ids.astype(np.uint32)])
-        full = len(ids) // BLOCK * BLOCK
-        self._put(ids[:full])
-        self.left = ids[full:]
+        for at in range(0, len(ids), 1 << 20):
+            part = np.concatenate([self.left, ids[at : at + (1 << 20)].astype(np.uint32)])
+            full = len(part) // BLOCK * BLOCK
+            self._put(part[:full])
+            self.left = part[full:]
 
     def close(self) -> None:
         total = len(self.index) * BLOCK + len(self.left)
@@ -246,7 +247,7 @@ class WordEncoder:
 
     def _asked(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, start, size): where in ``flat`` the library's ids of each word lie."""
-        size = np.zeros(len(words), np.int64)
+        size = np.zeros(len(words), np.int32)
         start = np.zeros(len(words), np.int64)
         flat: list[np.ndarray] = []
         used = 0
@@ -282,12 +283,12 @@ class WordEncoder:
 
     def _gather(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """The ids of ``numbers`` one after another."""
-        out = np.empty(int(size[numbers].sum()), np.uint32)
+        out = np.empty(int(size[numbers].sum(dtype=np.int64)), np.uint32)
         filled = 0
         for k in range(0, len(numbers), self.SLICE):
             own = numbers[k : k + self.SLICE]
             sizes = size[own]
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(sizes, dtype=np.int64)
             at = np.repeat(start[own] - (ends - sizes), sizes)
             at += np.arange(len(at))
             out[filled : filled + len(at)] = flat[at]
@@ -303,7 +304,7 @@ class WordEncoder:
         parts = pa.concat_arrays([base, sign]).dictionary_encode()
         flat, start, size = self._asked(parts.dictionary)
         both = parts.indices.to_numpy().reshape(2, -1)
-        return self._gather(flat, start, size, both.T.ravel()), size[both].sum(axis=0)
+        return self._gather(flat, start, size, both.T.ravel()), size[both].sum(axis=0, dtype=np.int32)
 
     def encode_all(self, texts: list[bytes | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of texts in UTF-8, the ids of all after one another, the end's included."""
@@ -314,11 +315,11 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         del split
         ids, size = self._words(words.dictionary.cast(pa.string()))
-        flat, size = np.append(ids, np.uint32(self.end_id)), np.append(size, 1)
+        flat, size = np.append(ids, np.uint32(self.end_id)), np.append(size, np.int32(1))
         numbers = np.insert(words.indices.to_numpy(), stops, len(size) - 1)
         del words
-        lengths = np.add.reduceat(size[numbers], np.append(0, stops[:-1] + np.arange(1, len(stops)))) if len(stops) else stops
-        return self._gather(flat, np.cumsum(size) - size, size, numbers), lengths
+        lengths = np.add.reduceat(size[numbers], np.append(0, stops[:-1] + np.arange(1, len(stops))), dtype=np.int64) if len(stops) else stops
+        return self._gather(flat, np.cumsum(size, dtype=np.int64) - size, size, numbers), lengths
 
 
 def _by_size(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -377,6 +378,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
                 ids, lengths = encoder.encode_all(pa.concat_arrays(part.column(1).chunks))
                 writer.add(part.column(0).to_pylist(), lengths.tolist(), ids)
                 count, total = count + len(lengths), total + len(ids)
+                del part, ids, lengths  # before the next rows come
             writer.close()
 
         publish(uri, write)
