@@ -64,3 +64,17 @@ def test_facts_are_grouped_in_order():
     assert fact_groups([a, b, c], 0.5) == [{"m": 0, "i": 0}, {"m": 1, "i": 0}]
     assert fact_groups([c, a, c, "few words"], 0.5) == [{"m": 0, "i": 0}, {"m": 2, "i": 0}]
     assert fact_groups([a, b], 0.9) == []
+
+
+def test_sections_alike_are_paired_by_sets():
+    w = [f"w{k}" for k in range(30)]
+    assert structure.like_pairs([" ".join(w), "a b", " ".join([*w, "more"]), " ".join(w[:12])]) == [{"a": 0, "b": 2}]
+    assert structure.like_pairs([" ".join(w)]) == structure.like_pairs(["a b c d", "a b c d"]) == []
+
+
+def test_sections_of_few_paragraphs_are_left_out_early(plain):
+    every, some = (sorted(map(str, structure.paragraphs(plain, k).collect())) for k in (1, 3))
+    held = {}
+    for r in structure.paragraphs(plain).collect():
+        held.setdefault((r.doc_id, r.section_line), []).append(str(r))
+    assert some == sorted(x for rows in held.values() if len(rows) >= 3 for x in rows) and 0 < len(some) < len(every)
