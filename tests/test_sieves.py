@@ -78,3 +78,15 @@ def test_sections_of_few_paragraphs_are_left_out_early(plain):
     for r in structure.paragraphs(plain).collect():
         held.setdefault((r.doc_id, r.section_line), []).append(str(r))
     assert some == sorted(x for rows in held.values() if len(rows) >= 3 for x in rows) and 0 < len(some) < len(every)
+
+
+def test_a_sweep_hands_sieves_to_every_check(plain):
+    seen = []
+
+    def asks(c, types):
+        seen.append((set(c.sieves), c.may("attempt").inputFiles()))
+        return CHECKS["retry_attempt_count_bold"](c, types)
+
+    found = sweep.sweep(plain, checks={"asks": asks})
+    assert found.count() == CHECKS["retry_attempt_count_bold"](plain, None).count() > 0
+    assert seen[0][0] == set(SIEVES) and all("/found_line-" in f for f in seen[0][1])
